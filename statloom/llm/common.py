@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 2
     for b in batches:
         if not b.num_rows:
             continue
-        ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(float)))
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(float)))
         at = 0
         while at < b.num_rows:
             base = ends[at - 1] if at else 0.0
@@ -173,7 +174,7 @@ def partial_sums(batches: Iterator[pa.RecordBatch], values: Callable[[pa.RecordB
             if not len(docs):
                 continue
             freqs = np.frombuffer(b"".join(x for x in part.column("freqs").to_pylist() if x), np.uint32)
-            lengths = np.nan_to_num(pa.compute.binary_length(part.column("docs")).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) // 2
+            lengths = np.nan_to_num(pc.binary_length(part.column("docs")).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) // 2
             w = np.repeat(v[a:z], lengths, axis=0) * freqs[:, None]
             if total is None:
                 total, seen = np.zeros((BLOCK_DOCS, v.shape[1])), np.zeros(BLOCK_DOCS, bool)
