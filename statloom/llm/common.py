@@ -28,6 +28,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that the written table stands for
     return spark.read.schema(df.schema).parquet(path)
 
 
