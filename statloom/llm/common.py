@@ -69,8 +69,8 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 # ---------------------------------------------------------------- inverted index by blocks
 
-INDEX_SCHEMA = "block long, token binary, docs binary, freqs binary, ids binary, extra binary"
-_INDEX_ARROW = pa.schema([("block", pa.int64()), ("token", pa.binary()), ("docs", pa.binary()), ("freqs", pa.binary()), ("ids", pa.binary()), ("extra", pa.binary())])
+INDEX_SCHEMA = "block long, token binary, docs binary, freqs binary, ids binary, extra binary, marked long"
+_INDEX_ARROW = pa.schema([("block", pa.int64()), ("token", pa.binary()), ("docs", pa.binary()), ("freqs", pa.binary()), ("ids", pa.binary()), ("extra", pa.binary()), ("marked", pa.int64())])
 
 
 def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], list], extra: Callable[[bytes, object], float] | None = None, weight: Callable[[object], bool] | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[by
     ``split`` gives a text's tokens (bytes or str). ``docs`` holds uint16 places in the block, ``freqs`` uint32
     counts. One more row a block, with a null token, holds the document ids (int64, then a null flag byte each)
     and ``extra`` (float64 for each document). A posting costs a few bytes, however long the token is.
-    ``weight`` marks documents whose counts are to be summed apart: ``ids`` of a token's row is their sum as int64.
+    ``weight`` marks documents by id: ``marked`` is how often the token occurs in those of the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[by
             flags = np.array([x is None for x in ids], np.uint8)
             head = np.array([0 if x is None else x for x in ids], np.int64).tobytes() + flags.tobytes()
             more = np.array([extra(t, i) for t, i in zip(texts, ids)] if extra else [0.0] * n, np.float64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([head]), pa.array([more])], schema=_INDEX_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([head]), pa.array([more]), pa.nulls(1, pa.int64())], schema=_INDEX_ARROW)
             sizes = np.array([len(r) for r in rows])
             if sizes.sum():
                 keys = np.concatenate(rows) * n + np.repeat(np.arange(n), sizes)
@@ -116,8 +116,8 @@ def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[by
                     e, start = ends[a : a + 20000], int(ends[a - 1]) if a else 0
                     m = len(e)
                     d, f = doc[start : e[-1]].astype(np.uint16), counts[start : e[-1]]
-                    mark = packed(marked[a : a + m], np.arange(1, m + 1)) if weight else pa.nulls(m, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(words[a : a + m], pa.binary()), packed(d, e - start), packed(f, e - start), mark, pa.nulls(m, pa.binary())], schema=_INDEX_ARROW)
+                    mark = pa.array(marked[a : a + m]) if weight else pa.nulls(m, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(words[a : a + m], pa.binary()), packed(d, e - start), packed(f, e - start), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), mark], schema=_INDEX_ARROW)
             ids.clear()
             texts.clear()
             held = 0

@@ -33,6 +33,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_score
+
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
