@@ -238,7 +238,7 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+    names = ["id", "n_words", "n_removed", "text", "rest"]
     for b in text_chunks(batches, 1):
         ids, texts, copies, hits = b.column(0), bytes_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()
         total, removed, out = [], [], []
@@ -261,10 +261,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 removed.append(0)
             out.append(t)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), b.column(4)], names=names)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut out every word in a window of 13 words that also starts in a document with a smaller id.
 
     1. Anchors: of each window the 7-word prefix with the least hash. Their hashes are shuffled with the ids; a
@@ -279,7 +279,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Windows are judged on the input. Null ids take no part (their text stays), null text counts as empty. Rows that
     repeat an id with the same text are the same document; other rows with that id are neither smaller nor larger.
-    Returns id, n_words, n_removed and text (what is left; white space between neighbours that stay is kept).
+    Returns id, n_words, n_removed, text (what is left; white space between neighbours that stay is kept) and the
+    columns ``keep``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
@@ -299,5 +300,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = found.repartition("route").sortWithinPartitions("route").mapInArrow(_trees, _OUT)
     marks = marks.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
     notes = todo.where("copy").select("id", "tag", "copy", F.lit(None).cast("array<struct<pos:int,mask:smallint>>").alias("marks")).unionByName(marks.select("id", "tag", F.lit(False).alias("copy"), "marks"))
-    out = d.join(notes, ["id", "tag"], "left").select("id", "text", "copy", "marks").mapInArrow(_finish, "id long, n_words long, n_removed long, text string")
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep])
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest")) if keep else d.withColumn("rest", rest)
+    done = whole.join(notes, ["id", "tag"], "left").select("id", "text", "copy", "marks", "rest")
+    out = done.mapInArrow(_finish, f"id long, n_words long, n_removed long, text string, rest {dict(done.dtypes)['rest']}")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("text").alias(text_col), *[F.col("rest").getField(c).alias(c) for c in keep])
