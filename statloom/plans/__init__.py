@@ -1 +1 @@
-"""."""
+"""Pipelines and the queries over the driver's tables."""

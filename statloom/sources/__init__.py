@@ -1 +1 @@
-"""."""
+"""Typed readers of landed files."""
