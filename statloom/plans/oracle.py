@@ -126,9 +126,9 @@ _SQL: dict[str, str] = {
     "sort_by_text_date": f"SELECT o_orderkey, {_UPPER_DATE} AS game_date FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",
     "roster_inner_left_left": f"WITH {_CL}, lastg AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_game FROM orders GROUP BY 1) SELECT n_name AS team_name, c_custkey, c_name, round(csp, 6) AS clutch_score_pct, last_game FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN cm ON cm.player_id = c_custkey LEFT JOIN lastg ON o_custkey = c_custkey",
     "natural_merge": f"WITH {_PG}, {_ROSTER}, {_CL} SELECT r.player_id, name, r.gp, round(cur, 6) AS clutch_usage_rate, round(ts, 6) AS ts, round(usg, 6) AS usg FROM roster r LEFT JOIN cm ON cm.player_id = r.player_id WHERE r.gp > 5",
-    "self_pair": f"WITH {_TG} SELECT a.game_id, a.team_id AS t1_team, b.team_id AS t2_team, round(a.efg, 9) AS t1_efg, round(b.efg, 9) AS t2_efg, round(a.oreb - b.oreb, 6) AS oreb_diff FROM tg a JOIN tg b ON a.game_id = b.game_id AND a.team_id <> b.team_id",
+    "self_pair": f"WITH {_TG} SELECT a.game_id, a.team_id AS t1_team, b.team_id AS t2_team, round(a.dreb, 6) AS t1_dreb, round(b.dreb, 6) AS t2_dreb, round(a.oreb - b.oreb, 6) AS oreb_diff FROM tg a JOIN tg b ON a.game_id = b.game_id AND a.team_id <> b.team_id",
     "distinct_join": f"SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS game_date, o_orderstatus, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) <= {_AS_OF}",
-    "n_plus_one_lookup": f"WITH {_TG} SELECT s_nationkey, game_id, round(avg(efg), 9) AS efg FROM tg JOIN supplier ON team_id = s_suppkey GROUP BY 1, 2",
+    "n_plus_one_lookup": f"WITH {_TG} SELECT s_nationkey, game_id, round(avg(oreb), 9) AS oreb FROM tg JOIN supplier ON team_id = s_suppkey GROUP BY 1, 2",
     "first_match": "SELECT p.p_partkey, p.p_name, f.p_partkey AS first_part, f.p_brand AS first_brand FROM part p LEFT JOIN (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1) f ON f.p_name = p.p_name",
     "missing_keys": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
     "count_lookups": f"WITH t AS (SELECT c_custkey, c_nationkey, gp FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS gp FROM orders GROUP BY 1) ON o_custkey = c_custkey), m AS (SELECT c_nationkey, max(gp) AS team_gp FROM t GROUP BY 1) SELECT c_custkey, coalesce(gp, 0) AS player_gp, team_gp, round({_factor('coalesce(gp, 0)', 'CAST(team_gp AS DOUBLE)')}, 6) AS factor FROM t JOIN m USING (c_nationkey)",

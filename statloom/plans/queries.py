@@ -174,8 +174,8 @@ def natural_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @_register
 def self_pair(spark: SparkSession, d: str) -> DataFrame:
-    p = rel.self_pairs(games.team_games(spark, d), "game_id", "team_id", ["efg", "oreb"])
-    return p.select("game_id", F.col("a_team_id").alias("t1_team"), F.col("b_team_id").alias("t2_team"), _r("a_efg", "t1_efg", 9), _r("b_efg", "t2_efg", 9), _r(F.col("a_oreb") - F.col("b_oreb"), "oreb_diff"))
+    p = rel.self_pairs(games.team_games(spark, d), "game_id", "team_id", ["dreb", "oreb"])
+    return p.select("game_id", F.col("a_team_id").alias("t1_team"), F.col("b_team_id").alias("t2_team"), _r("a_dreb", "t1_dreb"), _r("b_dreb", "t2_dreb"), _r(F.col("a_oreb") - F.col("b_oreb"), "oreb_diff"))
 
 
 @_register
@@ -189,7 +189,7 @@ def distinct_join(spark: SparkSession, d: str) -> DataFrame:
 def n_plus_one_lookup(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "supplier", "s_suppkey", "s_nationkey")
     g = games.team_games(spark, d).join(own, F.col("team_id") == F.col("s_suppkey"))
-    return g.groupBy("s_nationkey", "game_id").agg(_r(F.avg("efg"), "efg", 9))
+    return g.groupBy("s_nationkey", "game_id").agg(_r(F.avg("oreb"), "oreb", 9))
 
 
 @_register
