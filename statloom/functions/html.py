@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
 def uncomment(html: Column) -> Column:
@@ -109,7 +110,7 @@ def read_table(html: str, table_id: str | None = None) -> list[tuple[int, int, s
 def extract_table(pages: DataFrame, html: str, table_id: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a body cell of each page's table: the kept columns, row, col, header, text. Pages without it have none."""
     src = pages.select(*keep, F.col(html).alias("_html"))
-    schema = src.drop("_html").schema.add("row", "int").add("col", "int").add("header", "string").add("text", "string")
+    schema = src.drop("_html").schema.add("row", IntegerType()).add("col", IntegerType()).add("header", StringType()).add("text", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
