@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,45 +25,89 @@ SENTENCE_CUT, INNER_CUT = 32, 512
 #: Where a stretch without sentence ends is longer, it may be cut at every so many tokens.
 STRIDE = 256
 #: Entries of a worker's word cache, after which it starts anew.
-CACHE = 400_000
+CACHE = 2_000_000
 
 _ENDS = frozenset(".!?…。！？")
+_PLAIN = regex.compile(r"(?:\p{L}|[!-&(-/:-@\[-`{-~])+")
+_RUNS = regex.compile(r"\p{L}+|\P{L}+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_cache: dict[str, dict[str, bytes]] = {}
 
 
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def encode(texts: list[str], path: str) -> tuple[list[bytes], list[np.ndarray]]:
-    """Each text's ids (little-endian uint32) and the token counts after which a sentence ends.
-
-    The vocabulary drops white space, so a text's ids are those of its white-space separated words in a row; each
-    distinct word is encoded once and kept. Texts that hold an added token's string, or control characters on which
-    Python and the library differ, go to the library whole.
-    """
-    known, library, special = _cache.setdefault(path, {}), tokenizer(path), [x.decode() for x in _specials(path)]
-    plain = [not any(x in t for x in special) and not _ODD_SPACE.search(t) for t in texts]
-    words = [t.split() if p else [] for t, p in zip(texts, plain)]
-    if len(known) > CACHE:
-        known.clear()
-    new: set[str] = set().union(*words) - known.keys()
-    todo = list(new)
-    for i in range(0, len(todo), 20000):
-        part = todo[i : i + 20000]
-        known.update((w, _raw(e.ids)) for w, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)))
-    ids, cuts = [], []
-    for t, w, p in zip(texts, words, plain):
-        if p:
-            pieces = list(map(known.__getitem__, w))
-            ids.append(b"".join(pieces))
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // 4
-            cuts.append(ends[np.fromiter((x[-1] in _ENDS for x in w), bool, len(w))])
-        else:
-            ids.append(_raw(library.encode(t, add_special_tokens=False).ids))
-            cuts.append(np.zeros(0, np.int64))
-    return ids, cuts
+class Lexicon:
+    """A worker's words so far, numbered, with their ids in one row: word i has ``length[i]`` ids from ``first[i]``."""
+
+    def __init__(self, path: str, end_id: int):
+        self.library, self.special, self.end_id = tokenizer(path), [x.decode() for x in _specials(path)], end_id
+        size = self.library.get_vocab_size()
+        self.last = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.names: defaultdict = defaultdict()
+        self.names.default_factory = self.names.__len__
+        self.names[""]  # the end of a text
+        self.table, self.first = np.array([self.end_id], "<u4"), np.zeros(1, np.int64)
+        self.length, self.ending = np.ones(1, np.int64), np.zeros(1, bool)
+
+    def learn(self) -> None:
+        """Encode the words that were numbered since. Words of letters and plain marks go many in one text: each run of
+        letters or of marks ends in a token that says so, by which the ids are parted again."""
+        old = len(self.length)
+        words = list(islice(self.names, old, None))
+        runs = [1 if w.isalpha() else len(_RUNS.findall(w)) if _PLAIN.fullmatch(w) else 0 for w in words]
+        order = [k for k, r in enumerate(runs) if r]
+        groups = [order[i : i + 500] for i in range(0, len(order), 500)]
+        alone = [k for k, r in enumerate(runs) if not r]
+        first, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at, tables = len(self.table), [self.table]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join([words[k] for k in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            at_run = np.cumsum([runs[k] for k in group]) - 1
+            if len(ends) != at_run[-1] + 1:  # not the runs that were expected
+                alone += group
+                continue
+            stop = ends[at_run]
+            length[group] = np.diff(np.concatenate([[0], stop]))
+            first[group] = at + stop - length[group]
+            at += len(ids)
+            tables.append(ids)
+        for k, e in zip(alone, self.library.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            first[k], length[k] = at, len(ids)
+            at += len(ids)
+            tables.append(ids)
+        self.table = np.concatenate(tables)
+        self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
+        self.ending = np.concatenate([self.ending, np.array([w[-1] in _ENDS for w in words], bool)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' ids in one row, each text followed by the end id; tokens of each text; places where a sentence ends.
+
+        The vocabulary drops white space, so a text's ids are those of its white-space separated words in a row. Each
+        word is encoded once and the row put together in numpy. Texts that hold an added token's string, or control
+        characters on which Python and the library differ, go to the library whole.
+        """
+        if len(self.names) > CACHE:
+            self.clear()
+        rows = []
+        for t in texts:
+            w = [t] if any(x in t for x in self.special) or _ODD_SPACE.search(t) else t.split()
+            w.append("")
+            rows.append(np.fromiter(map(self.names.__getitem__, w), np.int64, len(w)))
+        if len(self.names) > len(self.length):
+            self.learn()
+        ids = np.concatenate([np.zeros(0, np.int64), *rows])
+        each, first = self.length[ids], self.first[ids]
+        ends = np.cumsum(each)
+        stream = self.table[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum([len(r) for r in rows], dtype=np.int64) - 1
+        return stream, np.diff(np.concatenate([np.zeros(1, np.int64), ends[last]])), ends[self.ending[ids]]
+
+
+@lru_cache(maxsize=2)
+def lexicon(path: str, end_id: int) -> Lexicon:
+    return Lexicon(path, end_id)
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
@@ -88,11 +135,9 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     return at[out[::-1]]
 
 
-def candidates(sizes: np.ndarray, sentences: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def candidates(sizes: np.ndarray, inner: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places where a stream of documents may be cut, with penalties: document ends, sentence ends, and inner places."""
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    inner = np.concatenate([np.zeros(0, np.int64), *(s + a for s, a in zip(sentences, starts))])
     at = np.concatenate([[0], ends, inner])
     cost = np.concatenate([[0], np.zeros(len(ends)), np.full(len(inner), float(SENTENCE_CUT))])
     order = np.lexsort((cost, at))
@@ -130,16 +175,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 4096, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 32
         names: list = []
-        ids: list[bytes] = []
+        streams: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         sentences: list[np.ndarray] = []
         held = 0
-        end = _raw([end_id])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, held
-            sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-            stream = np.frombuffer(b"".join(y for x in ids for y in (x, end)), "<u4")
-            at, cost = candidates(sizes, sentences)
+            sizes, stream = np.concatenate(counts), np.concatenate(streams)
+            at, cost = candidates(sizes, np.concatenate(sentences))
             cuts = best_cuts(at, cost, length)
             ends = np.cumsum(sizes)
             breaks = np.union1d(np.append(ends, 0), cuts)
@@ -152,15 +196,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 4096, end_id:
                 yield pa.RecordBatch.from_arrays([who.take(pa.array(doc[s])), pa.array(left[s] - (ends - sizes)[doc[s]]), pa.array((right - left)[s]), pa.array(sizes[doc[s]]), pa.array(sequence + window[s]), pa.array(left[s] - cuts[window[s]]), packed(stream[left[i] : right[s][-1]], right[s] - left[i])], schema=_SCHEMA)
             sequence += len(cuts) - 1
             held = 0
-            for x in (names, ids, sentences):
+            for x in (names, streams, counts, sentences):
                 x.clear()
 
-        for b in text_chunks(batches, 1, 2 << 20):
-            a, c = encode([x or "" for x in b.column(1).to_pylist()], vocabulary)
+        for b in text_chunks(batches, 1, 4 << 20):
+            stream, sizes, inner = lexicon(vocabulary, end_id).encode([x or "" for x in b.column(1).to_pylist()])
             names += b.column(0).to_pylist()
-            ids += a
-            sentences += c
-            held += sum(map(len, a)) // 4 + len(a)
+            streams.append(stream)
+            counts.append(sizes)
+            sentences.append(inner + held)
+            held += len(stream)
             if held >= BLOCK_TOKENS:
                 yield from flush()
         if names:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ SALTS = 8
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The tokenizer of a .json file, once for each Python worker; no truncation, no padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
