@@ -18,22 +18,17 @@ _BREAK_CHARS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B,
 
 def item_words(text: Column) -> Column:
     """A text's words: A-Z lower-cased, runs of digits, a-z and characters beyond ASCII. Null has none."""
-    t = F.btrim(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_BREAK_CHARS))
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # there lower() changes A-Z alone, and faster
+    t = F.btrim(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), F.lit(_BREAK_CHARS))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _BREAK))
 
 
 def _shingles(df: DataFrame, size: int, carry: list[str]) -> DataFrame:
-    """One row for each place (0-based ``pos``) of ``words`` where a shingle of ``size`` words starts, with its ``key``."""
-    spread = df.select(*carry, "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    """One row for each place (0-based ``pos``) of ``words`` with the ``key`` of the shingle of ``size`` words that starts there, or null; one row with a null place where there are no words."""
+    spread = df.select(*carry, "words", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "word"))
     rest = [F.get("words", F.col("pos") + k) for k in range(1, size)]
-    return spread.where(F.col("pos") + size <= F.col("n")).withColumn("key", F.xxhash64(F.lit(size), "word", *rest)).drop("word")
-
-
-def _every(df: DataFrame, sizes: list[int], carry: list[str]) -> DataFrame:
-    out = _shingles(df, sizes[0], carry)
-    for s in sizes[1:]:
-        out = out.unionByName(_shingles(df, s, carry))
-    return out
+    return spread.withColumn("key", F.when(F.col("pos") + size <= F.col("n"), F.xxhash64(F.lit(size), "word", *rest))).drop("word")
 
 
 def _few(df: DataFrame) -> bool:
@@ -66,40 +61,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = stage(cut.groupBy(F.slice("all", F.col("at"), F.col("long")).alias("words")).agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
     sizes = [r[0] for r in windows.select(F.least(F.size("words"), F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()]  # at most ``shingle`` numbers
 
-    hits = None
-    if sizes:
-        parts = [_shingles(windows.where(F.least(F.size("words"), F.lit(shingle)) == s), s, ["items"]) for s in sizes]
-        own = parts[0]
-        for p in parts[1:]:
-            own = own.unionByName(p)
+    near = F.slice("words", F.greatest(F.col("pos") - (window - 1), F.lit(0)) + 1, 2 * window).alias("near")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    if not sizes:
+        met = worded.select("id", "print", F.size("words").alias("n"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("key"), F.col("words").alias("near"), F.lit(True).alias("first"))
+        prefix = windows.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("offset"), F.col("words").alias("window"), "items").limit(0)
+    else:
+        own = None
+        for s in sizes:
+            part = _shingles(windows.where(F.least(F.size("words"), F.lit(shingle)) == s), s, ["items"]).where("key is not null")
+            own = part if own is None else own.unionByName(part)
         keys = stage(own.select("key").distinct(), "shingles")
-        narrow = _every(worded, sizes, []).select("key")
-        counted = stage(narrow.join(F.broadcast(keys) if _few(keys) else keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("df")), "counts")
+        counted = None
+        for s in sizes:
+            part = _shingles(worded, s, []).select("key").join(F.broadcast(keys) if _few(keys) else keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("df"))
+            counted = part if counted is None else counted.union(part)
+        counted = stage(counted, "counts")
         rarest = own.join(counted, "key", "left").groupBy("words", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("pos"), F.col("key"))).alias("r"))
         prefix = stage(rarest.where("r.df > 0").select("r.key", F.col("r.pos").alias("offset"), F.col("words").alias("window"), "items"), "prefixes")
         few = stage(prefix.select("key").distinct(), "prefix-keys")
-        reach = window - 1
-        if _few(few):
-            met = _every(worded, sizes, ["id", "print"]).join(F.broadcast(few), "key", "left_semi")
-        else:
-            thin = _every(worded, sizes, ["id", "print"]).select("id", "print", "pos", "key").join(few, "key", "left_semi").distinct()
-            found = thin.groupBy("id", "print").agg(F.collect_list(F.struct("pos", "key")).alias("found"))
-            w, f = worded.alias("w"), found.alias("f")
-            met = w.join(f, F.col("w.id").eqNullSafe(F.col("f.id")) & (F.col("w.print") == F.col("f.print"))).select("w.id", "w.print", "words", F.size("words").alias("n"), F.explode("found").alias("x")).select("id", "print", "words", "n", "x.pos", "x.key")
-        start = F.greatest(F.col("pos") - reach, F.lit(0))
-        near = met.select("id", "print", "n", "pos", "key", start.alias("from"), F.slice("words", start + 1, 2 * window).alias("near"))
-        at = F.col("pos") - F.col("offset")
-        size = F.size("window")
-        sure = near.join(prefix, "key").where((at >= 0) & (at + size <= F.col("n"))).where(F.slice("near", F.greatest(at - F.col("from"), F.lit(0)) + 1, size) == F.col("window"))
-        hits = sure.select("id", "print", F.struct(at.alias("start"), size.alias("length")).alias("span"), "items").groupBy("id", "print").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-
-    counts = worded.select("id", "print", F.size("words").cast("long").alias("n_words"))
-    none = F.array().cast("array<struct<start:int,length:int>>"), F.array().cast("array<string>")
-    if hits is None:
-        out = counts.withColumns({"spans": none[0], "item_ids": none[1]})
-    else:
-        c, h = counts.alias("c"), hits.alias("h")
-        out = c.join(h, F.col("c.id").eqNullSafe(F.col("h.id")) & (F.col("c.print") == F.col("h.print")), "left").select("c.id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("item_ids", none[1]).alias("item_ids"))
+        met = None
+        for s in sizes:
+            head = first if s == sizes[0] else F.lit(False)  # one row a document tells its words
+            if _few(few):
+                each = _shingles(worded, s, ["id", "print"]).join(F.broadcast(few.select(F.col("key").alias("hit"))), F.col("key") == F.col("hit"), "left")
+                part = each.where(F.col("hit").isNotNull() | head).select("id", "print", "n", "pos", F.col("hit").alias("key"), near, head.alias("first"))
+            else:
+                thin = _shingles(worded, s, ["id", "print"]).select("id", "print", "pos", "key").join(few, "key", "left_semi").distinct()
+                found = thin.groupBy("id", "print").agg(F.collect_list(F.struct("pos", "key")).alias("found"))
+                w, f = worded.alias("w"), found.alias("f")
+                both = w.join(f, F.col("w.id").eqNullSafe(F.col("f.id")) & (F.col("w.print") == F.col("f.print"))).select("w.id", "w.print", "words", F.size("words").alias("n"), F.explode("found").alias("x"))
+                part = both.select("id", "print", "words", "n", "x.pos", "x.key").select("id", "print", "n", "pos", "key", near, F.lit(False).alias("first"))
+                if s == sizes[0]:
+                    part = part.unionByName(worded.select("id", "print", F.size("words").alias("n"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("key"), F.array().cast("array<string>").alias("near"), F.lit(True).alias("first")))
+            met = part if met is None else met.unionByName(part)
+        met = stage(met, "met")
+
+    at, size = F.col("pos") - F.col("offset"), F.size("window")
+    start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    sure = met.where("key is not null").join(prefix, "key").where((at >= 0) & (at + size <= F.col("n"))).where(F.slice("near", F.greatest(at - start, F.lit(0)) + 1, size) == F.col("window"))
+    hits = sure.select("id", "print", F.struct(at.alias("start"), size.alias("length")).alias("span"), "items").groupBy("id", "print").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    c, h = met.where("first").select("id", "print", F.col("n").cast("long").alias("n_words")).alias("c"), hits.alias("h")
+    out = c.join(h, F.col("c.id").eqNullSafe(F.col("h.id")) & (F.col("c.print") == F.col("h.print")), "left")
+    out = out.select("c.id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("end"))
     add = lambda a, s: F.struct((a["sum"] + F.greatest(s["start"] + s["length"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("sum"), F.greatest(a["end"], s["start"] + s["length"]).alias("end"))
     return out.select(F.col("id").alias(id_col), "n_words", F.aggregate("spans", zero, add)["sum"].alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans")
