@@ -183,6 +183,32 @@ SELECT a.team_id, count(*) AS meetings, round(avg(win_rate), 6) AS opponent_win_
     "props_json": "SELECT event_id, k AS attribute, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
 }
 
+_SQL["name_normalise"] = "SELECT page_id, trim(lower(regexp_replace(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1, 's')), '[^\\x00-\\x7F]', '', 'g'))) AS plain FROM pages"
+
+
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _ridge() -> str:
+    """Three features, so the normal equations are solved by Cramer's rule."""
+    x = ("usg", "ts", "pie")
+    gram = [[f"s_{a}_{b}" if a < b else f"s_{b}_{a}" if a > b else f"(s_{a}_{a} + 0.5::DOUBLE)" for b in x] for a in x]
+    sums = [f"sum((p.{a} - m.{a}) * (p.{b} - m.{b})) AS s_{a}_{b}" for a in x for b in x if a <= b] + [f"sum((p.{a} - m.{a}) * (p.net - m.net)) AS y_{a}" for a in x]
+    betas = ", ".join(f"{_det([[f'y_{a}' if j == k else gram[i][j] for j in range(3)] for i, a in enumerate(x)])} / {_det(gram)} AS b_{c}" for k, c in enumerate(x))
+    line = " + ".join(f"coalesce({a}, 0) * b_{a}" for a in x)
+    mean = " - ".join(f"b_{a} * m_{a}" for a in x)
+    return f"""WITH {_PG}, {_ROSTER},
+p AS (SELECT * FROM roster WHERE min >= 20 AND usg IS NOT NULL AND ts IS NOT NULL AND pie IS NOT NULL AND net IS NOT NULL),
+m AS (SELECT avg(usg) AS usg, avg(ts) AS ts, avg(pie) AS pie, avg(net) AS net FROM p),
+s AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(m.{a}) AS m_{a}' for a in (*x, 'net'))} FROM p, m),
+b AS (SELECT *, {betas} FROM s)
+SELECT player_id, round(least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE) * coalesce(net, 0) + (1 - least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE)) * (m_net - {mean} + {line}), 6) AS e_net FROM roster, b"""
+
+
+_SQL["ridge_blend"] = _ridge()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

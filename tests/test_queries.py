@@ -13,15 +13,10 @@ def duck():
 
 
 def test_every_statement_has_a_query():
-    assert set(SQL) <= set(ALL)
-    assert set(ALL) - set(SQL) == {"name_normalise", "ridge_blend"}
+    assert set(SQL) == set(ALL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     same(ALL[name](spark, SF), SQL[name], duck)
 
-
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
-def test_query_runs(spark, name):
-    assert ALL[name](spark, SF).count() > 0
