@@ -67,13 +67,22 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def unpacked(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a binary array's values in a row, and how many each value has (null: none)."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), dtype), np.diff(ends).astype(np.int64) // size
+
+
 # ---------------------------------------------------------------- inverted index by blocks
 
 INDEX_SCHEMA = "block long, token binary, docs binary, freqs binary, ids binary, extra binary, marked long"
 _INDEX_ARROW = pa.schema([("block", pa.int64()), ("token", pa.binary()), ("docs", pa.binary()), ("freqs", pa.binary()), ("ids", pa.binary()), ("extra", pa.binary()), ("marked", pa.int64())])
 
 
-def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], list], extra: Callable[[bytes, object], float] | None = None, weight: Callable[[object], bool] | None = None) -> DataFrame:
+def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], list], extra: Callable[[bytes, object], float] | None = None, weight: Callable[[object], bool] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per block of documents and token one row: the block's documents that hold the token and how often.
 
     ``split`` gives a text's tokens (bytes or str). ``docs`` holds uint16 places in the block, ``freqs`` uint32
@@ -127,7 +136,7 @@ def block_index(docs: DataFrame, id_col: str, text_col: str, split: Callable[[by
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
-                if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
+                if len(ids) >= BLOCK_DOCS or held >= block_bytes:
                     yield from flush()
         if ids:
             yield from flush()
@@ -170,12 +179,12 @@ def partial_sums(batches: Iterator[pa.RecordBatch], values: Callable[[pa.RecordB
                     yield from out()
                 now, total, seen, heads = int(blocks[a]), None, None, []
             part = b.slice(a, z - a)
-            heads += [(i, x) for i, x in zip(part.column("ids").to_pylist(), part.column("extra").to_pylist()) if x is not None]
-            docs = np.frombuffer(b"".join(x for x in part.column("docs").to_pylist() if x), np.uint16).astype(np.int64)
+            if part.column("extra").null_count < len(part):
+                heads += [(i, x) for i, x in zip(part.column("ids").to_pylist(), part.column("extra").to_pylist()) if x is not None]
+            docs, lengths = unpacked(part.column("docs"), np.uint16)
             if not len(docs):
                 continue
-            freqs = np.frombuffer(b"".join(x for x in part.column("freqs").to_pylist() if x), np.uint32)
-            lengths = np.nan_to_num(pc.binary_length(part.column("docs")).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) // 2
+            docs, freqs = docs.astype(np.int64), unpacked(part.column("freqs"), np.uint32)[0]
             w = np.repeat(v[a:z], lengths, axis=0) * freqs[:, None]
             if total is None:
                 total, seen = np.zeros((BLOCK_DOCS, v.shape[1])), np.zeros(BLOCK_DOCS, bool)
