@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, components, drop_staged, packed, stage, text_chunks
 
-#: 64-bit words of a bitmap signature.
-BITS = 16
+#: Least bits of a bitmap signature; a larger set has the next power of two.
+BITS = 1024
 #: Shingles known to be frequent, kept by every task to order prefixes (at most so many, 16 bytes each).
-FREQUENT = 65_536
-#: Shingles with the least hashes by which likely partners are tried first.
-MINS = 3
+FREQUENT = 1 << 20
+#: Shingles with the least hashes by which likely partners are tried first, and sets of such a shingle that all others are tried against.
+MINS, LEADERS = 3, 16
 #: Rows of a tile up to which all its pairs are formed at once.
 SMALL_TILE = 64
 
@@ -61,12 +61,23 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return key[once], np.cumsum(np.bincount(who[once], minlength=len(texts)))
 
 
-def bitmaps(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A bitmap for each set: every element toggles one bit, so two bitmaps differ in no more bits than their sets do."""
-    who = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    bit = (keys >> np.uint64(7)) % np.uint64(64 * BITS)
-    odd = np.bincount(who * 64 * BITS + bit.astype(np.int64), minlength=len(ends) * 64 * BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(len(ends), BITS)
+def bitmaps(keys: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """A bitmap for each set, about a bit an element: every element toggles one bit, so two bitmaps differ in no more bits than their sets do."""
+    sizes = np.diff(np.concatenate([[0], ends]))
+    width = BITS << np.ceil(np.log2(np.maximum(sizes, BITS) / BITS)).astype(np.int64)
+    stop = np.cumsum(width)
+    bit = (keys >> np.uint64(7)).astype(np.int64) & np.repeat(width - 1, sizes)
+    odd = np.bincount(np.repeat(stop - width, sizes) + bit, minlength=stop[-1] if len(stop) else 0) & 1
+    return np.split(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), stop[:-1] // 64) if len(ends) else []
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the width of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _needed(n: int, m: int, percent: int) -> int:
@@ -92,12 +103,12 @@ def _frequent(size: int):
     return run
 
 
-_PREP = "id long, tag int, n long, sig long, link long, mins array<long>, prefix binary"
+_PREP = "id long, tag int, n long, sig long, link long, mins array<long>, prefix binary, bits binary"
 
 
 def _prepare(size: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
-    """Per document: set size, signature of the set, and, once a set and chunk: prefix, local links and least hashes."""
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("link", pa.int64()), ("mins", pa.list_(pa.int64())), ("prefix", pa.binary())])
+    """Per document: set size, signature of the set, and, once a set and chunk: prefix, bitmap, local links and least hashes."""
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("link", pa.int64()), ("mins", pa.list_(pa.int64())), ("prefix", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 2, 6 << 20):
@@ -120,16 +131,17 @@ def _prepare(size: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
             prefix = packed(keys[order][keep], np.cumsum(np.bincount(who[keep], minlength=len(sets))))
             # likely partners within the chunk
             low = [sets[i][np.argsort(_mixed(sets[i]))[:MINS]] if first[i] else sets[i][:0] for i in range(len(sets))]
-            root = _local(sets, sizes, bitmaps(keys, ends), low, percent)
+            bits = bitmaps(keys, ends)
+            root = _local(sets, bits, low, percent)
             lead = first & (root == np.arange(len(sets)))
             some = sizes > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(sigs, mask=~some), pa.array(sigs[root], mask=~(first & ~lead)), pa.array([x.view(np.int64) if k else None for x, k in zip(low, lead)], pa.list_(pa.int64())), pa.Array.from_buffers(pa.binary(), len(sets), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), *prefix.buffers()[1:]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(sigs, mask=~some), pa.array(sigs[root], mask=~(first & ~lead)), pa.array([x.view(np.int64) if k else None for x, k in zip(low, lead)], pa.list_(pa.int64())), pa.Array.from_buffers(pa.binary(), len(sets), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), *prefix.buffers()[1:]]), pa.array([x.tobytes() if k else None for x, k in zip(bits, first)], pa.binary())], schema=schema)
 
     return run
 
 
-def _local(sets: list[np.ndarray], sizes: np.ndarray, bits: np.ndarray, low: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set of a chunk the first one that it reaches by links; tried are, for each least hash, its first three sets."""
+def _local(sets: list[np.ndarray], bits: list[np.ndarray], low: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set of a chunk the first one that it reaches by links; tried are, for each least hash, its first :data:`LEADERS` sets."""
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -146,7 +158,7 @@ def _local(sets: list[np.ndarray], sizes: np.ndarray, bits: np.ndarray, low: lis
                 a, z = find(i), find(j)
                 if a != z and links(sets[i], sets[j], bits[i], bits[j], percent):
                     parent[max(a, z)] = min(a, z)
-            if len(group) < 3:
+            if len(group) < LEADERS:
                 group.append(i)
     return np.array([find(i) for i in range(len(sets))], np.int64)
 
@@ -155,7 +167,7 @@ def links(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: i
     """Whether two sorted sets overlap enough; sizes, then bitmaps bound the overlap before it is counted."""
     n, m = len(a), len(b)
     need = _needed(n, m, percent)
-    if min(n, m) < need or n + m - int(np.bitwise_count(x ^ y).sum()) < 2 * need:
+    if min(n, m) < need or n + m - differing(x, y) < 2 * need:
         return False
     if n > m:
         a, b = b, a
@@ -173,85 +185,116 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(s.column(c).take(at) for c in ("n", "sig", "label"))], names=["key", "n", "sig", "label"])
 
 
-def _tiles(percent: int):
-    """Candidate pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band."""
+def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that hands ``work`` whole runs of equal keys, some hundred thousand rows at a time; rows come sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 200_000:
+                t = pa.Table.from_batches(held)
+                k = t.column("key").to_numpy()
+                whole = int(np.searchsorted(k, k[-1]))
+                if whole:
+                    yield from work(t.slice(0, whole))
+                    held, rows = t.slice(whole).combine_chunks().to_batches(), len(k) - whole
+        if rows:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _open_tiles(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles with more than one label; most shingles have one set and drop out here."""
+    k, label = t.column("key").to_numpy(), t.column("label").to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+    yield from t.filter(pa.array(np.repeat(mixed, np.diff(np.append(start, len(k)))))).to_batches()
+
+
+def _folded(raw: bytes) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64), 0)
+
+
+def _pairs(percent: int):
+    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, bitmaps that leave room for the overlap."""
 
-    def pairs(k: np.ndarray, n: np.ndarray, s: np.ndarray, label: np.ndarray) -> np.ndarray:
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, n, s, label = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label"))
+        raw = t.column("bits").to_pylist()
+        bits = np.array([_folded(x) for x in raw])
         out = []
-        edge = np.concatenate([[True], k[1:] != k[:-1]])
-        start = np.flatnonzero(edge)
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            on = (label[i] != label[j]) & (s[i] != s[j])
+            i, j = i[on], j[on]
+            total = n[i] + n[j]
+            need = -(-percent * total // (100 + percent))
+            on = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1) >= 2 * need
+            i, j, total, need = i[on], j[on], total[on], need[on]
+            wide = np.flatnonzero(np.maximum(n[i], n[j]) > BITS)  # where the folded bitmaps say little
+            on = np.ones(len(i), bool)
+            on[wide] = [total[x] - differing(np.frombuffer(raw[i[x]], np.uint64), np.frombuffer(raw[j[x]], np.uint64)) >= 2 * need[x] for x in wide]
+            out.append(np.stack([s[i[on]], s[j[on]]], 1))
+
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         length = np.diff(np.append(start, len(k)))
-        big = np.repeat(length > SMALL_TILE, length)
-        i = np.flatnonzero(~big)
+        i = np.flatnonzero(np.repeat(length <= SMALL_TILE, length))
         d = 1
         while len(i):
             i = i[i + d < len(k)]
             i = i[(k[i + d] == k[i]) & (percent * n[i + d] <= 100 * n[i])]
-            on = i[label[i] != label[i + d]]
-            out.append(np.stack([s[on], s[on + d]], 1))
+            keep(i, i + d)
             d += 1
         for a, m in zip(start[length > SMALL_TILE], length[length > SMALL_TILE]):
             names, inverse, count = np.unique(label[a : a + m], return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                continue
-            nn, ss = n[a : a + m], s[a : a + m]
+            nn = n[a : a + m]
             rest = inverse != count.argmax()  # every pair of different labels has a member outside the most frequent one
             for r in np.flatnonzero(rest):
                 lo, hi = np.searchsorted(nn, -(-percent * nn[r] // 100)), np.searchsorted(nn, 100 * nn[r] // percent, side="right")
                 other = np.arange(lo, hi)
-                other = other[(inverse[lo:hi] != inverse[r]) & (~rest[lo:hi] | (other > r))]
-                out.append(np.stack([np.full(len(other), ss[r]), ss[other]], 1))
-        both = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        both = both[both[:, 0] != both[:, 1]]
-        lo, hi = np.minimum(both[:, 0], both[:, 1]), np.maximum(both[:, 0], both[:, 1])
-        order = np.lexsort((hi, lo))
-        lo, hi = lo[order], hi[order]
-        once = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(lo)]
-        return np.stack([lo[once], hi[once]], 1)
+                other = other[~rest[lo:hi] | (other > r)]
+                keep(np.full(len(other), a + r), a + other)
+        both = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=1)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        both = both[order]
+        both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])[: len(both)]]
+        for at in range(0, len(both), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 100_000, 0]), pa.array(both[at : at + 100_000, 1])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+    return work
 
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            k, n, s, label = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label"))
-            same = k[1:] == k[:-1]
-            on = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # most shingles have one set
-            found = pairs(k[on], n[on], s[on], label[on])
-            for i in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 100_000, 0]), pa.array(found[i : i + 100_000, 1])], names=["a", "b"])
 
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 200_000:
-                t = pa.Table.from_batches(held)
-                k = t.column("key").to_numpy()
-                whole = int(np.searchsorted(k, k[-1]))
-                if whole:
-                    yield from out(t.slice(0, whole))
-                    held, rows = t.slice(whole).combine_chunks().to_batches(), len(k) - whole
-        if rows:
-            yield from out(pa.Table.from_batches(held))
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, 0):
+            sets = _sets_of(shingle_sets(bytes_of(b.column(0)), size))
+            for i in range(0, len(sets), 500):
+                raw = [x.tobytes() for x in sets[i : i + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64)), pa.array(raw, pa.binary())], names=["sig", "items"])
 
     return run
 
 
-def _sets(size: int):
+def _bounded(percent: int):
+    """Pairs whose bitmaps leave room for the overlap that they need."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches, 0):
-            keys, ends = shingle_sets(bytes_of(b.column(0)), size)
-            bits = bitmaps(keys, ends).view(np.int64)
-            for i in range(0, len(ends), 500):
-                part = [x for x in _sets_of((keys, ends))[i : i + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in part], np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in part])), pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * BITS + 1, BITS, dtype=np.int32)), pa.array(bits[i : i + 500].ravel())), pa.array([x.tobytes() for x in part], pa.binary())], names=["sig", "n", "bits", "items"])
+        for b in batches:
+            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            need = -(-percent * n // (100 + percent))
+            differ = np.array([differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())], np.int64)
+            yield b.filter(pa.array(n - differ >= 2 * need)).select(["a", "b"])
 
     return run
 
 
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(BITS, np.uint64)
+        none = np.zeros(1, np.uint64)
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("a", "b", "x", "y")))
             hit = [(u, v) for u, v, x, y in rows if links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), none, none, percent)]
@@ -261,19 +304,21 @@ def _exact(percent: int):
     return run
 
 
+def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of signatures whose bitmaps leave room for a link."""
+    x, y = (bits.select(F.col("sig").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}")) for p in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures that link, as edges (u, v): bitmaps first, then the sets of those that remain."""
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = stage(wanted.join(classes, "sig").select("id", "tag").distinct(), "wanted")
-    sets = stage(docs.join(wanted, ["id", "tag"], "left_semi").select("text").mapInArrow(_sets(size), "sig long, n long, bits array<long>, items binary"), "sets")
-    x, y = (sets.select(F.col("sig").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}")) for p in "ab")
-    differ: Column = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS)), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    # overlap <= (total - differ) / 2, and it must reach percent / (100 + percent) of the total
-    near = stage(pairs.join(x, "a").join(y, "b").where((100 + percent) * (total - differ) >= 2 * percent * total).select("a", "b").distinct(), "near")
+    """The pairs (a, b) of signatures that link, as edges (u, v): their sets are made again from the texts and intersected."""
+    near = stage(pairs, "near")
+    named = near.select(F.col("a").alias("sig")).union(near.select(F.col("b").alias("sig"))).distinct()
+    wanted = stage(named.join(classes, "sig").select("id", "tag").distinct(), "wanted")
+    sets = stage(docs.join(wanted, ["id", "tag"], "left_semi").select("text").mapInArrow(_sets(size), "sig long, items binary"), "items")
     x, y = sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
-    edges = stage(near.join(x, "a").join(y, "b").mapInArrow(_exact(percent), "u long, v long"), "links")
-    for t in (wanted, sets, near):
+    edges = stage(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact(percent), "u long, v long"), "links")
+    for t in (near, wanted, sets):
         drop_staged(t)
     return edges
 
@@ -290,9 +335,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        shingle among their first n - ceil(percent * n / 100) + 1.
     3. Likely partners first: sets with a least hash in common are tried within each task, then one set of each
        local group against one of each other's. Their components label the sets.
-    4. Tiles: the rows of a prefix shingle, sorted by set size, form pairs within the size band. Pairs of one label
-       are connected already and left out, so a large group of near copies costs no quadratic work.
-    5. The pairs' bitmaps bound the overlap from above; the sets of the pairs that remain are intersected.
+    4. Tiles: the rows of a prefix shingle, sorted by set size, form pairs within the size band, unless they have one
+       label and so are connected already. In the tile the pairs' bitmaps bound the overlap from above, and only
+       pairs that may link leave it.
+    5. The sets of the pairs that remain are intersected.
 
     (Size bands alone would compare all documents of like size; the shingle of a tile keeps the join subquadratic.)
     Null or wordless texts have an empty set and are linked with nothing. A null id takes no part and has a null
@@ -309,18 +355,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     linkable = prep.where(F.col("id").isNotNull() & F.col("sig").isNotNull())
     classes = stage(linkable.groupBy("sig").agg(F.min(F.struct("id", "tag")).alias("m")).select("sig", "m.id", "m.tag"), "classes")
+    bits = stage(linkable.where(F.col("bits").isNotNull()).select("sig", "n", "bits").dropDuplicates(["sig"]), "bitmaps")
     local = linkable.where(F.col("link").isNotNull()).select(F.col("sig").alias("u"), F.col("link").alias("v"))
 
     mins = linkable.where(F.col("mins").isNotNull()).select("sig", "n", F.explode("mins").alias("key")).distinct()
-    leader = stage(mins.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
-    likely = stage(mins.join(leader, "key").where((F.col("sig") != F.col("a")) & (percent * F.greatest("n", "n_a") <= 100 * F.least("n", "n_a"))).select("a", F.col("sig").alias("b")).distinct(), "likely")
-    edges = local.union(_confirm(known, classes, likely, size, percent))
+    leader = mins.groupBy("key", F.pmod(F.xxhash64("sig"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("sig", "n")).alias("lead"))
+    leader = stage(leader.select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
+    several = leader.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    tried = stage(leader.join(several, "key"), "leaders")
+    fit = (F.col("sig") != F.col("a")) & (percent * F.greatest("n", "n_a") <= 100 * F.least("n", "n_a"))
+    likely = stage(mins.join(tried, "key").where(fit).select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "likely")
+    edges = local.union(_confirm(known, classes, _near(bits, likely, percent), size, percent))
     labels = components(edges)
 
     rows = linkable.where(F.col("prefix").isNotNull()).select("sig", "n", "prefix")
     rows = rows.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").select("n", "sig", F.coalesce("label", "sig").alias("label"), "prefix")
-    tiles = rows.mapInArrow(_explode_prefix, "key long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
-    pairs = stage(tiles.mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
+    tiles = rows.mapInArrow(_explode_prefix, "key long, n long, sig long, label long").repartition("key").sortWithinPartitions("key")
+    mixed = stage(tiles.mapInArrow(_runs(_open_tiles), "key long, n long, sig long, label long"), "tiles")
+    tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
+    pairs = tiles.mapInArrow(_runs(_pairs(percent)), "a long, b long").distinct()
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_confirm(known, classes, pairs, size, percent))
 
     part = components(edges)
