@@ -25,7 +25,7 @@ SENTENCE_CUT, INNER_CUT = 32, 512
 #: Where a stretch without sentence ends is longer, it may be cut at every so many tokens.
 STRIDE = 256
 #: Entries of a worker's word cache, after which it starts anew.
-CACHE = 2_000_000
+CACHE = 500_000
 
 _ENDS = frozenset(".!?…。！？")
 _PLAIN = regex.compile(r"(?:\p{L}|[!-&(-/:-@\[-`{-~])+")
