@@ -298,7 +298,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = known.join(todo.where("not copy").select("id", "tag", "anchors"), ["id", "tag"]).select("id", "tag", "text", "anchors").mapInArrow(_suffixes, _OUT)
     marks = found.repartition("route").sortWithinPartitions("route").mapInArrow(_trees, _OUT)
-    marks = marks.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
+    # written, so that the shuffles behind it can go before the texts are shuffled once more
+    marks = stage(marks.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "mask")).alias("marks")), "marks")
     notes = todo.where("copy").select("id", "tag", "copy", F.lit(None).cast("array<struct<pos:int,mask:smallint>>").alias("marks")).unionByName(marks.select("id", "tag", F.lit(False).alias("copy"), "marks"))
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep])
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest")) if keep else d.withColumn("rest", rest)
