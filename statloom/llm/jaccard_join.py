@@ -207,12 +207,22 @@ def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Ite
     return run
 
 
-def _open_tiles(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Rows of tiles with more than one label; most shingles have one set and drop out here."""
-    k, label = t.column("key").to_numpy(), t.column("label").to_numpy()
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
-    yield from t.filter(pa.array(np.repeat(mixed, np.diff(np.append(start, len(k)))))).to_batches()
+def _open_tiles(percent: int):
+    """Rows of tiles that have a partner: another label, and a size within the band. Most shingles have one set and drop out here, as do sets of unlike sizes."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, n, label = (t.column(c).to_numpy() for c in ("key", "n", "label"))
+        # rows are sorted by key and size: on either side the nearest row of another label is also the nearest in size
+        run = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (label[1:] != label[:-1])]))
+        length = np.diff(np.append(run, len(k)))
+        before, after = np.repeat(run - 1, length), np.repeat(run + length, length)
+        at = np.minimum(after, len(k) - 1)
+        keep = (after < len(k)) & (k[at] == k) & (percent * n[at] <= 100 * n)
+        at = np.maximum(before, 0)
+        keep |= (before >= 0) & (k[at] == k) & (percent * n <= 100 * n[at])
+        yield from t.filter(pa.array(keep)).to_batches()
+
+    return work
 
 
 def _folded(raw: bytes) -> np.ndarray:
@@ -370,8 +380,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = linkable.where(F.col("prefix").isNotNull()).select("sig", "n", "prefix")
     rows = rows.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").select("n", "sig", F.coalesce("label", "sig").alias("label"), "prefix")
-    tiles = rows.mapInArrow(_explode_prefix, "key long, n long, sig long, label long").repartition("key").sortWithinPartitions("key")
-    mixed = stage(tiles.mapInArrow(_runs(_open_tiles), "key long, n long, sig long, label long"), "tiles")
+    tiles = rows.mapInArrow(_explode_prefix, "key long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
+    mixed = stage(tiles.mapInArrow(_runs(_open_tiles(percent)), "key long, n long, sig long, label long"), "tiles")
     tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
     pairs = tiles.mapInArrow(_runs(_pairs(percent)), "a long, b long").distinct()
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_confirm(known, classes, pairs, size, percent))
