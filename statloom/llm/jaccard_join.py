@@ -182,7 +182,9 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             keys = [np.frombuffer(x, np.int64) for x in s.column("prefix").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(s.column(c).take(at) for c in ("n", "sig", "label"))], names=["key", "n", "sig", "label"])
+                # next to the key: what follows is the same from row to row, and compresses
+                room = np.concatenate([n - np.arange(len(k)) for n, k in zip(s.column("n").to_pylist(), keys)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(room), *(s.column(c).take(at) for c in ("n", "sig", "label"))], names=["key", "room", "n", "sig", "label"])
 
 
 def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,19 +210,23 @@ def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Ite
 
 
 def _open_tiles(percent: int):
-    """Rows of tiles that have a partner: another label, and a size within the band. Most shingles have one set and drop out here, as do sets of unlike sizes."""
+    """Rows of tiles that have a partner: another label, a size within the band, and room for the overlap.
+
+    Most shingles have one set and drop out here. ``room`` is how many shingles of the set's order start at this
+    one. Two sets that link meet in the tile of their first common shingle, where both have room for all of it.
+    """
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k, n, label = (t.column(c).to_numpy() for c in ("key", "n", "label"))
-        # rows are sorted by key and size: on either side the nearest row of another label is also the nearest in size
-        run = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (label[1:] != label[:-1])]))
-        length = np.diff(np.append(run, len(k)))
-        before, after = np.repeat(run - 1, length), np.repeat(run + length, length)
-        at = np.minimum(after, len(k) - 1)
-        keep = (after < len(k)) & (k[at] == k) & (percent * n[at] <= 100 * n)
-        at = np.maximum(before, 0)
-        keep |= (before >= 0) & (k[at] == k) & (percent * n <= 100 * n[at])
-        yield from t.filter(pa.array(keep)).to_batches()
+        k, n, room, label = (t.column(c).to_numpy() for c in ("key", "n", "room", "label"))
+        wide = np.int64(1) << 40
+        tile = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) * wide
+        most = np.minimum(100 * n // percent, ((100 + percent) * room) // percent - n)
+        lo, hi = np.searchsorted(tile + n, tile - (-percent * n // 100)), np.searchsorted(tile + n, tile + most, side="right")
+        # rows are sorted by key and size: the sizes that fit are a range, which must hold more than the row's own label
+        run = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (label[1:] != label[:-1])]))
+        end = np.repeat(np.append(run[1:], len(k)), np.diff(np.append(run, len(k))))
+        at = np.minimum(lo, len(k) - 1)
+        yield from t.filter(pa.array((lo < hi) & ((label[at] != label) | (end[at] < hi)))).to_batches()
 
     return work
 
@@ -230,10 +236,10 @@ def _folded(raw: bytes) -> np.ndarray:
 
 
 def _pairs(percent: int):
-    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, bitmaps that leave room for the overlap."""
+    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places and bitmaps that leave room for the overlap."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k, n, s, label = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label"))
+        k, n, s, label, room = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label", "room"))
         raw = t.column("bits").to_pylist()
         bits = np.array([_folded(x) for x in raw])
         out = []
@@ -243,6 +249,8 @@ def _pairs(percent: int):
             i, j = i[on], j[on]
             total = n[i] + n[j]
             need = -(-percent * total // (100 + percent))
+            on = np.minimum(room[i], room[j]) >= need
+            i, j, total, need = i[on], j[on], total[on], need[on]
             on = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1) >= 2 * need
             i, j, total, need = i[on], j[on], total[on], need[on]
             wide = np.flatnonzero(np.maximum(n[i], n[j]) > BITS)  # where the folded bitmaps say little
@@ -346,7 +354,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Likely partners first: sets with a least hash in common are tried within each task, then one set of each
        local group against one of each other's. Their components label the sets.
     4. Tiles: the rows of a prefix shingle, sorted by set size, form pairs within the size band, unless they have one
-       label and so are connected already. In the tile the pairs' bitmaps bound the overlap from above, and only
+       label and so are connected already. In the tile the shingle's places in both sets and the pairs' bitmaps bound the overlap from above, and only
        pairs that may link leave it.
     5. The sets of the pairs that remain are intersected.
 
@@ -380,9 +388,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = linkable.where(F.col("prefix").isNotNull()).select("sig", "n", "prefix")
     rows = rows.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").select("n", "sig", F.coalesce("label", "sig").alias("label"), "prefix")
-    tiles = rows.mapInArrow(_explode_prefix, "key long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
-    mixed = stage(tiles.mapInArrow(_runs(_open_tiles(percent)), "key long, n long, sig long, label long"), "tiles")
-    tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
+    tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
+    mixed = stage(tiles.mapInArrow(_runs(_open_tiles(percent)), "key long, room long, n long, sig long, label long"), "tiles")
+    tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "room", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
     pairs = tiles.mapInArrow(_runs(_pairs(percent)), "a long, b long").distinct()
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_confirm(known, classes, pairs, size, percent))
 
