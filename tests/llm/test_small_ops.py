@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from statloom.llm import queries
-from statloom.llm.lm_scoring import CLASSES, END, TEMPLATES, BUCKETS, class_probabilities, lm_score, tokens, trains
+from statloom.llm.lm_scoring import CLASSES, END, SINGLE, TEMPLATES, BUCKETS, class_probabilities, lm_score, tokens, trains
 from statloom.llm.packing import best_cuts, lexicon, pack_documents
 from statloom.llm.quality_rules import quality_rules
 from statloom.llm.sharding import permute, shard_rows, unpermute
@@ -193,3 +193,7 @@ def test_class_probabilities_sum_to_one():
     w = rng.normal(size=(TEMPLATES, BUCKETS, CLASSES)).astype(np.float32)
     p = class_probabilities(w, rng.normal(size=CLASSES).astype(np.float32), [rng.integers(0, BUCKETS, 500) for _ in range(TEMPLATES)])
     assert p.sum(1) == pytest.approx(np.ones(500), abs=1e-5) and END == b""
+
+
+def test_model_is_not_made_smaller():
+    assert CLASSES >= 32 and SINGLE >= 12
