@@ -14,6 +14,8 @@ from statloom.llm.quality_rules import quality_rules
 from statloom.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A line is boilerplate in more than this share of a host's texts.
+LINE_SHARE = 0.05
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    return _without(docs, quality_rules(docs, most_share=LINE_SHARE).where(~F.col("kept")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,13 +93,15 @@ def _facts(max_line_words: int):
     return run
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, max_line_words: int = 40, least_left: float = 0.2, min_words: int = 20, most_repeated: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, max_line_words: int = 40, least_left: float = 0.2, min_words: int = 20, most_repeated: int = 30, most_share: float | None = None, least_docs: int = 5) -> DataFrame:
     """Judge every document by its own words and by the lines that it shares with others of its host.
 
     Base rules: fewer than ``min_words`` words, or more than ``most_repeated`` percent of them in 8-word windows that
     occur twice in the text. Method: a line of up to ``max_line_words`` words is boilerplate when more than
     ``most_docs`` distinct texts of its host hold its normal form (exact copies of a text count once, so a copied
-    document is not taken for boilerplate; longer lines are prose, left to deduplication). ``cut_lines`` are the
+    document is not taken for boilerplate; longer lines are prose, left to deduplication). With ``most_share`` the limit
+    follows the host instead: ``least_docs`` texts or more, and more than that share of the host's distinct texts with
+    words, so that hosts of all sizes are judged alike. ``cut_lines`` are the
     numbers of such lines in the text, ``n_cut_words`` their words. A document left with less than ``least_left`` of
     its words is depleted. ``kept`` is neither failed nor depleted.
 
@@ -112,7 +114,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     facts = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text")).mapInArrow(_facts(max_line_words), _FACTS).withColumn("row", F.monotonically_increasing_id()), "facts")
     lines = facts.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", F.col("l.at").alias("at"), F.col("l.hash").alias("hash"), F.col("l.words").alias("words"))
-    common = stage(lines.select("host", "hash", "text_hash").distinct().groupBy("host", "hash").count().where(F.col("count") > most_docs).select("host", "hash"), "lines")
+    holders = lines.select("host", "hash", "text_hash").distinct().groupBy("host", "hash").count()
+    if most_share is None:
+        holders = holders.where(F.col("count") > most_docs)
+    else:
+        sizes = stage(facts.where("n_words > 0").select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("of")), "hosts")
+        holders = holders.where(F.col("count") >= least_docs).join(sizes, "host").where(F.col("count") > F.lit(most_share) * F.col("of"))
+    common = stage(holders.select("host", "hash"), "lines")
     cut = lines.join(common, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("n_cut_words"), F.sort_array(F.collect_list("at")).alias("cut_lines"))
     out = facts.drop("lines", "text_hash", "host").join(cut, "row", "left").drop("row")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))

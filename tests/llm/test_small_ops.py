@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from statloom.llm import queries
@@ -166,6 +167,17 @@ def test_depleted_documents_go(spark):
     assert quality_rules(frame(spark, [])).count() == 0
 
 
+def test_line_limit_follows_the_host(spark):
+    shared = [f"Subscribe to our letter number {i} " + "now " * 10 for i in range(4)]
+    own = lambda *n: "-".join("".join("abcdefghij"[int(c)] for c in str(x)) for x in n)  # noqa: E731  (digits are alike)
+    small = [(i, "\n".join([*shared, own(i)])) for i in range(20)]
+    large = [(100 + i, "\n".join([*(shared if i < 60 else []), *(own(i, k) for k in range(30))])) for i in range(1500)]
+    df = frame(spark, small + large, 3).withColumn("source", F.when(F.col("doc_id") < 100, "small").otherwise("large"))
+    got = {r.doc_id: r for r in quality_rules(df, most_share=0.05).collect()}
+    assert all(got[i].depleted and got[i].cut_lines == [0, 1, 2, 3] for i, _ in small)
+    assert all(not got[i].depleted and not got[i].cut_lines for i, _ in large)
+
+
 # ---- LM scoring
 
 
