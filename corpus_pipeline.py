@@ -25,7 +25,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
-    return _without(docs, quality_rules(docs, most_share=LINE_SHARE).where(~F.col("kept")))
+    return _without(docs, quality_rules(docs, most_share=LINE_SHARE, max_line_words=None).where(~F.col("kept")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

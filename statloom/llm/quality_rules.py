@@ -66,7 +66,7 @@ def repeated_words(texts: list[list[bytes]], window: int = WINDOW) -> np.ndarray
 _FACTS = "id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<at:int,hash:long,words:int>>"
 
 
-def _facts(max_line_words: int):
+def _facts(max_line_words: int | None):
     schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("lines", pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _facts(max_line_words: int):
                     if m := len(line.split()):
                         n += line in seen
                         seen.add(line)
-                        if m <= max_line_words:
+                        if max_line_words is None or m <= max_line_words:
                             kept.append({"at": k, "hash": line_hash(line), "words": m})
                 dups.append(n)
                 lines.append(kept)
@@ -93,13 +93,13 @@ def _facts(max_line_words: int):
     return run
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, max_line_words: int = 40, least_left: float = 0.2, min_words: int = 20, most_repeated: int = 30, most_share: float | None = None, least_docs: int = 5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, max_line_words: int | None = 40, least_left: float = 0.2, min_words: int = 20, most_repeated: int = 30, most_share: float | None = None, least_docs: int = 5) -> DataFrame:
     """Judge every document by its own words and by the lines that it shares with others of its host.
 
     Base rules: fewer than ``min_words`` words, or more than ``most_repeated`` percent of them in 8-word windows that
     occur twice in the text. Method: a line of up to ``max_line_words`` words is boilerplate when more than
     ``most_docs`` distinct texts of its host hold its normal form (exact copies of a text count once, so a copied
-    document is not taken for boilerplate; longer lines are prose, left to deduplication). With ``most_share`` the limit
+    document is not taken for boilerplate; longer lines are prose, left to deduplication; with None lines of any length count). With ``most_share`` the limit
     follows the host instead: ``least_docs`` texts or more, and more than that share of the host's distinct texts with
     words, so that hosts of all sizes are judged alike. ``cut_lines`` are the
     numbers of such lines in the text, ``n_cut_words`` their words. A document left with less than ``least_left`` of

@@ -1,4 +1,5 @@
 import os
+import random
 
 import corpus_pipeline as pipeline
 import pytest
@@ -54,6 +55,27 @@ def test_run_and_empty_documents(spark, folder, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def _prose(seed, n=40):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def _table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", h, len(t)) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+
+
+def _two_stages(spark, rows):
+    out = pipeline.keep_quality(spark, _table(spark, rows), SF)
+    return {(r.doc_id, r.text) for r in pipeline.one_of_each(spark, out, SF).collect()}
+
+
+def test_long_boilerplate_lines_deplete(spark):
+    notice = [" ".join(_prose(2000 + k, 45)) for k in range(2)]
+    menu = [(i, "\n".join([*notice, " ".join(_prose(3000 + i, 20))]), "b") for i in range(30)]  # under 80 % alike
+    own = [(100 + i, " ".join(_prose(4000 + i, 60)), "b") for i in range(10)]
+    assert _two_stages(spark, menu + own) == {r[:2] for r in own}
+
+
 def test_entry_lists_the_operators():
     import __spark_entry__
 
