@@ -18,19 +18,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LINE_SHARE = 0.05
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Drop the documents with the given ids. They are written first: Spark then sees their size and shuffles the texts only if it is large."""
-    return docs.select(*COLUMNS).join(stage(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, by which they are judged: ids may be null or repeated. They are written, so that every reader sees the same numbers."""
+    return stage(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Drop the rows with the given numbers. These are written first: Spark then sees their size and shuffles the texts only if it is large."""
+    return rows.join(stage(gone.select("row_id").distinct(), "gone"), "row_id", "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
-    return _without(docs, quality_rules(docs, most_share=LINE_SHARE, max_line_words=None).where(~F.col("kept")))
+    """Rows that fail the base rules go, each by its own text: null ids too, and no row for the sake of its namesake.
+
+    Shared lines are judged in :func:`one_of_each`, where near copies no longer count apart.
+    """
+    rows = _numbered(docs)
+    return _without(rows, quality_rules(rows, "row_id").where("base_failed")).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id stays."""
-    return _without(docs, jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")))
+    """Of rows that links connect the one with the smallest id stays; then rows that consist of their host's boilerplate go.
+
+    A null id comes after all others, and among equal ids the text's hash decides, so one row of a group stays whether
+    ids are null or repeated. A line counts in the rows that stay, once for each group of near copies, whatever its
+    length; copies of one text are thus no boilerplate. Texts stay as they are.
+    """
+    rows = _numbered(docs)
+    member = stage(rows.select("row_id", "doc_id", F.xxhash64("text").alias("print")).join(jaccard_components(rows, "row_id").select("row_id", "component_id"), "row_id"), "members")
+    best = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print", "row_id")).alias("m"))
+    left = _without(rows, member.join(best.select("m.row_id"), "row_id", "left_anti"))
+    return _without(left, quality_rules(left, "row_id", most_share=LINE_SHARE, max_line_words=None).where("depleted")).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +59,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(contaminated(F.col("n_hit"), F.col("n_words"))))
+    rows = docs.withColumn("row_id", F.col("doc_id"))
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_id")
+    return _without(rows, found.where(contaminated(F.col("n_hit"), F.col("n_words")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

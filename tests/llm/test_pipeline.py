@@ -69,6 +69,12 @@ def _two_stages(spark, rows):
     return {(r.doc_id, r.text) for r in pipeline.one_of_each(spark, out, SF).collect()}
 
 
+def test_one_of_many_near_copies_stays(spark):
+    lines = [_prose(k, 12) for k in range(8)]
+    rows = [(i, "\n".join(" ".join([*w, _prose(1000 + i, 1)[0]] if k == 7 else w) for k, w in enumerate(lines)), "a") for i in range(60)]
+    assert _two_stages(spark, rows) == {rows[0][:2]}
+
+
 def test_long_boilerplate_lines_deplete(spark):
     notice = [" ".join(_prose(2000 + k, 45)) for k in range(2)]
     menu = [(i, "\n".join([*notice, " ".join(_prose(3000 + i, 20))]), "b") for i in range(30)]  # under 80 % alike
