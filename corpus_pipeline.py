@@ -58,8 +58,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
-    rows = docs.withColumn("row_id", F.col("doc_id"))
+    """Rows with benchmark passages go, each by its own text: null ids too, and no row for the sake of its namesake."""
+    rows = _numbered(docs)
     found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_id")
     return _without(rows, found.where(contaminated(F.col("n_hit"), F.col("n_words")))).select(*COLUMNS)
 

@@ -82,6 +82,22 @@ def test_long_boilerplate_lines_deplete(spark):
     assert _two_stages(spark, menu + own) == {r[:2] for r in own}
 
 
+def test_null_and_shared_ids(spark, tmp_path):
+    bad, passage = "no " * 5, " ".join(_prose(1, 60))
+    good = [" ".join(_prose(10 + k)) for k in range(4)]
+    kept = pipeline.keep_quality(spark, _table(spark, [(None, bad, "a"), (None, good[0], "a"), (7, bad, "a"), (7, good[1], "a")]), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", good[0]), ("7", good[1])])
+
+    rows = [(1, good[0], "a"), (5, good[0] + " x", "a"), (5, good[1], "a"), (None, good[0] + " y", "a"), (None, good[2], "a"), (None, good[2], "a"), (8, good[3], "a"), (8, good[3], "a")]
+    left = sorted((str(r.doc_id), r.text) for r in pipeline.one_of_each(spark, _table(spark, rows), SF).collect())
+    assert left == sorted([("1", good[0]), ("5", good[1]), ("None", good[2]), ("8", good[3])])
+
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, passage, "a"), (None, good[0], "a"), (3, passage, "a"), (3, good[1], "a")]
+    clean = pipeline.drop_contaminated(spark, _table(spark, rows), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in clean) == sorted([("None", good[0]), ("3", good[1])])
+
+
 def test_entry_lists_the_operators():
     import __spark_entry__
 
