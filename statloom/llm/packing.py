@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,10 @@ STRIDE = 256
 CACHE = 500_000
 
 _ENDS = frozenset(".!?…。！？")
-_PLAIN = regex.compile(r"(?:\p{L}|[!-&(-/:-@\[-`{-~])+")
-_RUNS = regex.compile(r"\p{L}+|\P{L}+")
+#: Letters that normal form and lower case leave single letters and that join with no neighbour.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
+_PLAIN = regex.compile(f"[{_LETTERS}!-&(-@\\[-`{{-~]+")
+_RUNS = regex.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -50,11 +53,15 @@ class Lexicon:
         self.length, self.ending = np.ones(1, np.int64), np.zeros(1, bool)
 
     def learn(self) -> None:
-        """Encode the words that were numbered since. Words of letters and plain marks go many in one text: each run of
-        letters or of marks ends in a token that says so, by which the ids are parted again."""
+        """Encode the words that were numbered since.
+
+        Words of plain letters, digits and marks go many in one text: their runs (letters, a digit, marks) are known
+        beforehand, and each ends in a token that says so, by which the ids are parted again. All others, among them
+        whole texts, words with an apostrophe, and letters that the library may change, are encoded one by one.
+        """
         old = len(self.length)
         words = list(islice(self.names, old, None))
-        runs = [1 if w.isalpha() else len(_RUNS.findall(w)) if _PLAIN.fullmatch(w) else 0 for w in words]
+        runs = [len(_RUNS.findall(w)) if _PLAIN.fullmatch(w) and not any(x in w for x in self.special) else 0 for w in words]
         order = [k for k, r in enumerate(runs) if r]
         groups = [order[i : i + 500] for i in range(0, len(order), 500)]
         alone = [k for k, r in enumerate(runs) if not r]
