@@ -10,12 +10,10 @@ from statloom.llm.common import stage
 from statloom.llm.decontamination import contaminated, decontaminate
 from statloom.llm.jaccard_join import jaccard_components
 from statloom.llm.packing import pack_documents
-from statloom.llm.quality_rules import quality_rules
+from statloom.llm.quality_rules import quality_rules, without_lines
 from statloom.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A line is boilerplate in more than this share of a host's texts.
-LINE_SHARE = 0.05
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -29,26 +27,29 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that fail the base rules go, each by its own text: null ids too, and no row for the sake of its namesake.
+    """Rows that the quality rules reject go, each by its own text: null ids too, and no row for the sake of its namesake.
 
-    Shared lines are judged in :func:`one_of_each`, where near copies no longer count apart.
+    The boilerplate lines of the others are removed from their texts, and ``n_chars`` counts what is left.
     """
     rows = _numbered(docs)
-    return _without(rows, quality_rules(rows, "row_id").where("base_failed")).select(*COLUMNS)
+    verdict = quality_rules(rows, "row_id")
+    touched = stage(verdict.where("not kept or size(cut_lines) > 0").select("row_id", "kept", "cut_lines"), "touched")
+    left = rows.join(touched, "row_id", "left").where("coalesce(kept, true)")
+    text = without_lines("text", "cut_lines")
+    n_chars = F.when(F.size("cut_lines") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return left.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that links connect the one with the smallest id stays; then rows that consist of their host's boilerplate go.
+    """Of rows that links connect the one with the smallest id stays.
 
     A null id comes after all others, and among equal ids the text's hash decides, so one row of a group stays whether
-    ids are null or repeated. A line counts in the rows that stay, once for each group of near copies, whatever its
-    length; copies of one text are thus no boilerplate. Texts stay as they are.
+    ids are null or repeated. Texts stay as they are.
     """
     rows = _numbered(docs)
     member = stage(rows.select("row_id", "doc_id", F.xxhash64("text").alias("print")).join(jaccard_components(rows, "row_id").select("row_id", "component_id"), "row_id"), "members")
     best = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print", "row_id")).alias("m"))
-    left = _without(rows, member.join(best.select("m.row_id"), "row_id", "left_anti"))
-    return _without(left, quality_rules(left, "row_id", most_share=LINE_SHARE, max_line_words=None).where("depleted")).select(*COLUMNS)
+    return _without(rows, member.join(best.select("m.row_id"), "row_id", "left_anti")).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

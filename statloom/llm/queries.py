@@ -122,8 +122,15 @@ named AS (
   SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm,
          row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM ln WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) FILTER (WHERE nth > 1) AS n_dup FROM named GROUP BY r),
-common AS (SELECT host, norm FROM named WHERE len(lw) <= 40 GROUP BY 1, 2 HAVING count(DISTINCT t) > 50),
-cut AS (SELECT r, sum(len(lw)) AS n_cut FROM named JOIN common USING (host, norm) WHERE len(lw) <= 40 GROUP BY r),
+sizes AS (SELECT host, count(*) AS docs FROM d WHERE len(w) > 0 GROUP BY 1),
+wide AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT r) AS n FROM named GROUP BY 1, 2) JOIN sizes USING (host) WHERE n >= 5 AND n > 0.05::DOUBLE * docs),
+spread AS (SELECT r, sum(len(lw)) AS n_wide FROM named JOIN wide USING (host, norm) GROUP BY r),
+rich AS (SELECT r, host FROM d LEFT JOIN spread USING (r) WHERE len(w) > 0 AND 2 * coalesce(n_wide, 0) <= len(w)),
+rich_sizes AS (SELECT host, count(*) AS docs FROM rich GROUP BY 1),
+common AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT r) AS n FROM named JOIN wide USING (host, norm) WHERE r IN (SELECT r FROM rich) GROUP BY 1, 2) JOIN rich_sizes USING (host)
+  WHERE n >= 5 AND n > 0.05::DOUBLE * docs),
+cut AS (SELECT r, sum(len(lw)) AS n_cut FROM named JOIN common USING (host, norm) GROUP BY r),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, coalesce(n_cut, 0) AS n_cut

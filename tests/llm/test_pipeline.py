@@ -75,11 +75,12 @@ def test_one_of_many_near_copies_stays(spark):
     assert _two_stages(spark, rows) == {rows[0][:2]}
 
 
-def test_long_boilerplate_lines_deplete(spark):
+def test_boilerplate_is_removed_and_depleted_rows_go(spark):
     notice = [" ".join(_prose(2000 + k, 45)) for k in range(2)]
-    menu = [(i, "\n".join([*notice, " ".join(_prose(3000 + i, 20))]), "b") for i in range(30)]  # under 80 % alike
+    menu = [(i, "\n".join([*notice, " ".join(_prose(3000 + i, 20))]), "b") for i in range(30)]
+    rich = [(50 + i, "\n".join([notice[i % 2], " ".join(_prose(5000 + i, 120))]), "b") for i in range(20)]
     own = [(100 + i, " ".join(_prose(4000 + i, 60)), "b") for i in range(10)]
-    assert _two_stages(spark, menu + own) == {r[:2] for r in own}
+    assert _two_stages(spark, menu + rich + own) == {(i, t.split("\n")[1]) for i, t, _ in rich} | {r[:2] for r in own}
 
 
 def test_null_and_shared_ids(spark, tmp_path):

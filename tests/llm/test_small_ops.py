@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,10 +16,11 @@ from tokenizers import Tokenizer
 from statloom.llm import queries
 from statloom.llm.lm_scoring import CLASSES, END, SINGLE, TEMPLATES, BUCKETS, class_probabilities, lm_score, tokens, trains
 from statloom.llm.packing import best_cuts, lexicon, pack_documents
-from statloom.llm.quality_rules import quality_rules
+from statloom.llm.quality_rules import quality_rules, without_lines
 from statloom.llm.sharding import permute, shard_rows, unpermute
 from statloom.llm.url_filters import url_filters
 
+from ..oracle import same
 from .util import corpus, frame, words
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -155,27 +157,53 @@ def test_quality_base_counts(spark):
     assert all(not r.kept for r in out if r.base_failed)
 
 
-def test_depleted_documents_go(spark):
-    shared = [f"Subscribe to our letter number {i} " + "now " * 10 for i in range(4)]
-    docs = [(i, "\n".join([*shared, f"word{i}"])) for i in range(80)] + [(100 + i, "\n".join([shared[0], *(f"own{i}_{k}" for k in range(60))])) for i in range(5)]
-    docs += [(200 + i, " ".join(f"c{k}" for k in range(30))) for i in range(90)]  # copies of one text are no boilerplate
-    df = frame(spark, docs, 3)
-    df = df.withColumn("source", df.lang.isNull().cast("string")).withColumn("source", df.id)
-    got = {r.doc_id: r for r in quality_rules(df).collect()}
-    assert not got[3].kept and got[3].depleted and got[3].cut_lines == [0, 1, 2, 3]
-    assert got[101].kept and got[101].cut_lines == [0] and got[250].kept
-    assert quality_rules(frame(spark, [])).count() == 0
-
-
-def test_line_limit_follows_the_host(spark):
-    shared = [f"Subscribe to our letter number {i} " + "now " * 10 for i in range(4)]
-    own = lambda *n: "-".join("".join("abcdefghij"[int(c)] for c in str(x)) for x in n)  # noqa: E731  (digits are alike)
-    small = [(i, "\n".join([*shared, own(i)])) for i in range(20)]
-    large = [(100 + i, "\n".join([*(shared if i < 60 else []), *(own(i, k) for k in range(30))])) for i in range(1500)]
-    df = frame(spark, small + large, 3).withColumn("source", F.when(F.col("doc_id") < 100, "small").otherwise("large"))
-    got = {r.doc_id: r for r in quality_rules(df, most_share=0.05).collect()}
-    assert all(got[i].depleted and got[i].cut_lines == [0, 1, 2, 3] for i, _ in small)
-    assert all(not got[i].depleted and not got[i].cut_lines for i, _ in large)
+def _own(*n):
+    return "-".join("".join("abcdefghij"[int(c)] for c in str(x)) for x in n)  # digits are alike in a normal form
+
+
+def _host_of_notices(name, first, size):
+    """A tenth of a host's documents is little but four notices (one of over 40 words), as many hold one beside their own text; the rest is plain."""
+    notices = ["Subscribe to " + " ".join(_own(6, k, j) for j in range(10 if k else 45)) for k in range(4)]
+    rows = []
+    for i in range(size):
+        own = [_own(first + i, k) + " word" for k in range(90)]
+        lines = [*notices, *own[:4]] if i % 10 == 0 else [*own, *notices] if i % 10 == 1 else own
+        rows.append((first + i, "\n".join(lines), name))
+    return rows
+
+
+def _documents(spark, rows):
+    return spark.createDataFrame([(i, t, None, h, None) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.mark.parametrize("size", [80, 900])
+def test_depleted_documents_go(spark, tmp_path, size):
+    rows = _host_of_notices("a", 0, size) + _host_of_notices(None, 10_000, size)
+    rows += [(20_000 + i, " ".join(_own(7, k) for k in range(30)), "a") for i in range(size)]  # copies, half of the host
+    lines = [" ".join(_own(8, j, k) for k in range(12)) for j in range(8)]
+    rows += [(30_000 + i, "\n".join([*lines[:-1], lines[-1] + " " + _own(9, i)]), "b") for i in range(size)]  # a host of near copies
+    rows += [(40_000, None, "a"), (40_001, "", "a"), (0, "short", "a")]
+    got = {r.doc_id: r for r in quality_rules(_documents(spark, rows)).collect() if r.doc_id}
+    for i, t, h in rows[: 2 * size]:
+        if i and i % 10 == 0:
+            assert not got[i].base_failed and got[i].depleted and not got[i].kept and got[i].cut_lines == [0, 1, 2, 3]
+        elif i and i % 10 == 1:
+            assert got[i].kept and got[i].cut_lines == [90, 91, 92, 93]
+        elif i:
+            assert got[i].kept and not got[i].cut_lines
+    assert all(r.kept and not r.cut_lines for i, r in got.items() if 20_000 <= i < 40_000)
+    assert quality_rules(_documents(spark, rows).limit(0)).count() == 0
+
+    if size == 80:  # the SQL states the same rule
+        _documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        same(queries.op8_quality_rules(spark, str(tmp_path)), queries.SQL["op8_quality_rules"], c)
+
+
+def test_lines_are_removed(spark):
+    df = spark.createDataFrame([("a\nb\n\nc", [1, 3]), ("a", []), ("a", None), (None, None), ("a\n", [0])], "text string, cut_lines array<int>")
+    assert [r[0] for r in df.select(without_lines("text", "cut_lines")).collect()] == ["a\n", "a", "a", None, ""]
 
 
 # ---- LM scoring
