@@ -11,7 +11,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ CACHE = 500_000
 _ENDS = frozenset(".!?…。！？")
 #: Letters that normal form and lower case leave single letters and that join with no neighbour.
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x530)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
-_PLAIN = regex.compile(f"[{_LETTERS}!-&(-@\\[-`{{-~]+")
-_RUNS = regex.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PLAIN = re.compile(f"[{_LETTERS}!-&(-@\\[-`{{-~]+")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -49,6 +48,7 @@ class Lexicon:
         self.names: defaultdict = defaultdict()
         self.names.default_factory = self.names.__len__
         self.names[""]  # the end of a text
+        self.whole: set[str] = set()
         self.table, self.first = np.array([self.end_id], "<u4"), np.zeros(1, np.int64)
         self.length, self.ending = np.ones(1, np.int64), np.zeros(1, bool)
 
@@ -61,7 +61,7 @@ class Lexicon:
         """
         old = len(self.length)
         words = list(islice(self.names, old, None))
-        runs = [len(_RUNS.findall(w)) if _PLAIN.fullmatch(w) and not any(x in w for x in self.special) else 0 for w in words]
+        runs = [1 if w.isalpha() and w.isascii() else len(_RUNS.findall(w)) if _PLAIN.fullmatch(w) and w not in self.whole else 0 for w in words]
         order = [k for k, r in enumerate(runs) if r]
         groups = [order[i : i + 500] for i in range(0, len(order), 500)]
         alone = [k for k, r in enumerate(runs) if not r]
@@ -99,7 +99,12 @@ class Lexicon:
             self.clear()
         rows = []
         for t in texts:
-            w = [t] if any(x in t for x in self.special) or _ODD_SPACE.search(t) else t.split()
+            low = t.lower() if t.isascii() else t  # fewer words; the vocabulary lower-cases anyway
+            if any(x in low for x in self.special) or _ODD_SPACE.search(t):
+                self.whole.add(t)
+                w = [t]
+            else:
+                w = low.split()
             w.append("")
             rows.append(np.fromiter(map(self.names.__getitem__, w), np.int64, len(w)))
         if len(self.names) > len(self.length):
