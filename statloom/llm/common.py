@@ -23,11 +23,12 @@ def staging_dir(spark: SparkSession) -> str:
     return (d or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/") + "/statloom"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
+def stage(df: DataFrame, name: str, by: str | None = None, **options: object) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder (a folder for each value of ``by``) and read it back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd").options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that the written table stands for
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,6 +77,28 @@ def unpacked(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), dtype), np.diff(ends).astype(np.int64) // size
 
 
+def runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that hands ``work`` whole runs of equal keys, some hundred thousand rows at a time; rows come sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 200_000:
+                t = pa.Table.from_batches(held)
+                k = t.column("key").to_numpy()
+                whole = int(np.searchsorted(k, k[-1]))
+                if whole:
+                    yield from work(t.slice(0, whole))
+                    held, rows = t.slice(whole).combine_chunks().to_batches(), len(k) - whole
+        if rows:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
 # ---------------------------------------------------------------- inverted index by blocks
 
 INDEX_SCHEMA = "block long, token binary, docs binary, freqs binary, ids binary, extra binary, marked long"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, drop_staged, packed, stage, text_chunks
+from .common import bytes_of, components, drop_staged, packed, runs, stage, text_chunks
 
 #: Least bits of a bitmap signature; a larger set has the next power of two.
 BITS = 1024
@@ -189,28 +189,6 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(room), *(s.column(c).take(at) for c in ("n", "sig", "label"))], names=["key", "room", "n", "sig", "label"])
 
 
-def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task function that hands ``work`` whole runs of equal keys, some hundred thousand rows at a time; rows come sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 200_000:
-                t = pa.Table.from_batches(held)
-                k = t.column("key").to_numpy()
-                whole = int(np.searchsorted(k, k[-1]))
-                if whole:
-                    yield from work(t.slice(0, whole))
-                    held, rows = t.slice(whole).combine_chunks().to_batches(), len(k) - whole
-        if rows:
-            yield from work(pa.Table.from_batches(held))
-
-    return run
-
-
 def _open_tiles(percent: int):
     """Rows of tiles that have a partner: another label, a size within the band, and room for the overlap.
 
@@ -402,9 +380,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = linkable.where(F.col("prefix").isNotNull()).select("sig", "n", "prefix")
     rows = rows.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").select("n", "sig", F.coalesce("label", "sig").alias("label"), "prefix")
     tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
-    mixed = stage(tiles.mapInArrow(_runs(_open_tiles(percent)), "key long, room long, n long, sig long, label long"), "tiles")
+    mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long, label long"), "tiles")
     tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "room", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
-    pairs = tiles.mapInArrow(_runs(_pairs(percent)), "a long, b long").distinct()
+    pairs = tiles.mapInArrow(runs(_pairs(percent)), "a long, b long").distinct()
     edges = edges.union(_confirm(known, classes, pairs, size, percent))
 
     part = components(edges)

@@ -1,7 +1,6 @@
-"""URL filters, sharding, packing, quality rules, LM scoring."""
+"""URL filters, sharding, packing, quality rules."""
 
 import math
-import zlib
 from collections import Counter
 
 import duckdb
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from statloom.llm import queries
-from statloom.llm.lm_scoring import CLASSES, END, SINGLE, TEMPLATES, BUCKETS, class_probabilities, lm_score, tokens, trains
 from statloom.llm.packing import best_cuts, lexicon, pack_documents
 from statloom.llm.quality_rules import quality_rules, without_lines
 from statloom.llm.sharding import permute, shard_rows, unpermute
@@ -204,36 +202,3 @@ def test_depleted_documents_go(spark, tmp_path, size):
 def test_lines_are_removed(spark):
     df = spark.createDataFrame([("a\nb\n\nc", [1, 3]), ("a", []), ("a", None), (None, None), ("a\n", [0])], "text string, cut_lines array<int>")
     assert [r[0] for r in df.select(without_lines("text", "cut_lines")).collect()] == ["a\n", "a", "a", None, ""]
-
-
-# ---- LM scoring
-
-
-def test_base_score_and_model(spark):
-    texts = [t for t in corpus(10, 80) if t is None or len(t) < 5000]
-    docs = [*enumerate(texts), (5, texts[5]), (None, "a b c")]
-    part = {k: [w for w in tokens((t or "").encode())] for k, t in docs}
-    train = [w for k, t in docs if trains(k) for w in tokens((t or "").encode())]
-    c, n = Counter(train), len(train)
-    base = lambda ws: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in ws)
-    rows = lm_score(frame(spark, docs, 4)).collect()
-    assert len(rows) == len(docs)
-    for r in rows:
-        ws = part[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not trains(r.doc_id), len(ws), sum(w in c for w in ws), n)
-        assert r.base_score == pytest.approx(base(ws), rel=1e-9)
-        assert r.score < 0
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lm_score(frame(spark, [])).count() == 0
-
-
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    w = rng.normal(size=(TEMPLATES, BUCKETS, CLASSES)).astype(np.float32)
-    p = class_probabilities(w, rng.normal(size=CLASSES).astype(np.float32), [rng.integers(0, BUCKETS, 500) for _ in range(TEMPLATES)])
-    assert p.sum(1) == pytest.approx(np.ones(500), abs=1e-5) and END == b""
-
-
-def test_model_is_not_made_smaller():
-    assert CLASSES >= 32 and SINGLE >= 12
