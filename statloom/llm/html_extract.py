@@ -2,247 +2,429 @@
 
 from __future__ import annotations
 
-import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_chunks
 from .url_filters import url_host
 
-#: Pages of a host (with different texts) from which on a text is taken for template, and the share of them that must hold it.
-LEAST_PAGES, TEMPLATE_SHARE = 12, 0.9
-#: Cells of an alignment table beyond which children are aligned in order by name only.
-MOST_CELLS = 40_000
-DEEPEST = 60
+#: Share of a host's pages with a slot that must hold a text for it to be template, and the least number of different pages: in general, and inside an article or main element.
+TEMPLATE_SHARE, LEAST_PAGES, LEAST_INSIDE = 0.9, 3, 12
+#: Layouts of a host (its most frequent ones) whose seeds a page is aligned with.
+SEEDS = 4
+#: Brothers of one label are aligned when their ranks among such brothers differ by this much at most.
+BAND = 4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|option|button|object|canvas|audio|video|head)\b(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*)>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
+_ATTR = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
+#: Elements whose text ends only at their own end tag, and elements that hold no text of the page.
+_RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in "script style textarea title iframe xmp noembed noframes".split()}
+_DROPPED = frozenset("noscript template svg math select option optgroup datalist button object canvas audio video".split())
+_SPACED = frozenset("textarea iframe select option button td th br input".split())
 _NOT_CONTENT = frozenset("nav footer aside form menu dialog search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|side|aside|menus?|nav\w*|breadcrumbs?|footer|comments?|commentlist|replies|respond|disqus|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w+|widgets?|pagination|pager|toolbar|login|signup|search)(?=$|[\s_-])", re.I)
-_HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Names of classes and ids that hint at what is not content, outside articles; a name counts only if all its parts are among these and those that say nothing.
+_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription widget widgets pagination pager toolbar login signup search".split())
+_PLAIN_NAMES = frozenset("site page main top bottom left right box list bar container wrapper wrap inner outer block area section global primary secondary item items links link unit slot content js".split())
+#: Of these, the ones that also count inside articles, on an element that only groups others.
+_INSIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsored comment comments commentlist replies respond disqus".split())
+_GROUPS = frozenset("div section ul ol dl ins".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An element of these that opens ends open ones of the second set, as far as the third.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"})}
 
 
-class Node:
-    """A node of a page's skeleton; brothers in a row that have the same name are one node, a list slot."""
+def attributes(raw: str) -> dict[str, str]:
+    """Class, id, role, style and the marks of hidden elements; the first of a name counts."""
+    out: dict[str, str] = {}
+    low = raw.lower()
+    if any(x in low for x in ("class", "id", "role", "style")):
+        for name, a, b, c in _ATTR.findall(raw):
+            if (n := name.lower()) in ("class", "id", "role", "style", "hidden", "aria-hidden"):
+                out.setdefault(n, a or b or c)
+    return out
 
-    __slots__ = ("name", "kids", "number")
 
-    def __init__(self, name: str):
-        self.name, self.kids, self.number = name, [], 0
+@lru_cache(maxsize=20_000)
+def _hints(names: str, inside: bool) -> bool:
+    """Whether a class or id names something that is not content."""
+    for token in names.split():
+        parts = [x.lower() for x in _PART.findall(token)]
+        if any(x in (_INSIDE_NAMES if inside else _NAMES) for x in parts) and all(x in _NAMES or x in _PLAIN_NAMES for x in parts):
+            return True
+    return False
 
-    def child(self, name: str) -> Node:
-        if not self.kids or self.kids[-1].name != name:
-            self.kids.append(Node(name))
-        return self.kids[-1]
 
+@lru_cache(maxsize=20_000)
+def _label(tag: str, names: str) -> str:
+    """A node's label: its element and the letters of its class, so that numbers in names make no difference."""
+    return tag + "".join("." + x for x in sorted({"".join(c for c in t if c.isalpha() or c in "-_") for t in names.lower().split()}) if x)
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in _NOT_CONTENT or (tag == "header" and not inside):
-        return True
-    if attrs:
-        for name, *value in _ATTR.findall(attrs):
-            name, v = name.lower(), "".join(value)
-            if name == "hidden" or (name == "aria-hidden" and v.lower() == "true") or (name == "role" and v.lower() in _ROLES):
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (_NAMES.search(v) or (not inside and _HEAD_NAMES.search(v))):
-                return True
-            if name in ("class", "id") and tag == "article" and re.search(r"comment|reply|teaser|related|promo", v, re.I):
-                return True
-    return False
 
+class Page:
+    """A page's tree of block elements and its blocks outside menus, forms and the like.
 
-def page_blocks(html: str) -> tuple[Node, list[tuple[Node, bool, str]]]:
-    """A page's skeleton and its blocks outside menus, notices and the like: (node, inside an article, text)."""
-    root = Node("#")
-    stack: list[tuple[str, Node, bool, bool]] = [("#", root, False, False)]  # tag, node, not content, in an article
-    blocks: list[tuple[Node, bool, str]] = []
-    text: list[str] = []
+    ``blocks`` holds (node, in an article, hinted at as not content, text); ``labels`` and ``parents`` the tree in page order.
+    """
 
-    def end_block() -> None:
-        if text:
-            if t := " ".join(unescape("".join(text)).split()):
-                _, node, noise, inside = next(x for x in reversed(stack) if x[0] in _BLOCK or x[0] == "#")
+    def __init__(self, html: str):
+        self.labels, self.parents = ["#"], [-1]
+        self.blocks: list[tuple[int, bool, bool, str]] = []
+        # tag, node, no content, in an article, hinted, place of the nearest block
+        self.stack: list[tuple[str, int, bool, bool, bool, int]] = [("#", 0, False, False, False, 0)]
+        self.open: Counter = Counter()
+        self.text: list[str] = []
+        self._read(html)
+        self._end_block()
+
+    def _end_block(self) -> None:
+        if self.text:
+            if t := " ".join(unescape("".join(self.text)).split()):
+                _, node, noise, inside, hint, _ = self.stack[self.stack[-1][5]]
                 if not noise:
-                    blocks.append((node, inside, t))
-            text.clear()
-
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not stack[-1][2]:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if m[1] and m[1].lower() in ("textarea", "iframe", "select", "button", "option"):
-            text.append(" ")
-        if not m[3]:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if tag in _BLOCK:
-                end_block()
-            elif tag in ("td", "th"):
-                text.append(" ")
-            elif k and any(x[0] in _BLOCK for x in stack[k + 1 :]):
-                k = 0  # an inline end does not close blocks
-            if k:
-                del stack[k:]
-            continue
-        if tag in _VOID:
-            if tag == "hr":
-                end_block()
-            elif tag in ("br", "input"):
-                text.append(" ")
-            continue
+                    self.blocks.append((node, inside, hint, t))
+            self.text.clear()
+
+    def _read(self, html: str) -> None:
+        """One pass; a tag that the page's end cuts off is dropped, as are comments and raw text without an end."""
+        at, low, last = 0, "", {}
+        while True:
+            p = html.find("<", at)
+            if p < 0 or p + 1 >= len(html):
+                self._add(html[at:])
+                return
+            c = html[p + 1]
+            if c == "!" or c == "?":
+                self._add(html[at:p])
+                if html.startswith("<!--", p):
+                    end = p + 4 if html.startswith(">", p + 4) else html.find("-->", p + 2)
+                    at = end + (1 if end == p + 4 else 3)
+                else:
+                    end = html.find(">", p)
+                    at = end + 1
+                if end < 0:
+                    return
+                continue
+            name = html[p + 2 : p + 3] if c == "/" else c
+            if not (name.isascii() and name.isalpha()):
+                if c == "/" and name:  # a bogus comment
+                    self._add(html[at:p])
+                    at = html.find(">", p) + 1
+                    if not at:
+                        return
+                else:
+                    self._add(html[at : p + 1])
+                    at = p + 1
+                continue
+            self._add(html[at:p])
+            m = _TAG.match(html, p)
+            if not m:
+                return
+            at, tag = m.end(), m[2].lower()
+            if tag in _SPACED and self.stack:
+                self.text.append(" ")
+            if m[1]:
+                self._close(tag)
+            elif tag in _RAW:
+                end = _RAW[tag].search(html, at)
+                if not end:
+                    return
+                at = html.find(">", end.end()) + 1
+                if not at:
+                    return
+            elif tag not in _VOID:
+                own = m[3].rstrip().endswith("/")
+                if tag in _DROPPED:
+                    if own and tag in ("svg", "math"):
+                        continue
+                    if tag not in ("option", "optgroup"):
+                        low = low or html.lower()
+                        if tag not in last:
+                            last[tag] = low.rfind(f"</{tag}")
+                        if last[tag] < at:  # never closed: it holds nothing
+                            continue
+                self._open(tag, m[3], own)
+            elif tag == "hr":
+                self._end_block()
+
+    def _add(self, text: str) -> None:
+        if text and not self.stack[-1][2]:
+            self.text.append(text)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        for x in self.stack[k:]:
+            self.open[x[0]] -= 1
+        del self.stack[k:]
+
+    def _close(self, tag: str) -> None:
         if tag in _BLOCK:
-            end_block()
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
+            self._end_block()
+        if not self.open[tag]:
+            return
+        deep = tag in _BLOCK or tag in _DROPPED or tag in ("td", "th")
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == tag:
+                self._cut(i)
+                return
+            if not deep and self.stack[i][0] in _BLOCK:
+                return  # an inline end does not close blocks
+
+    def _open(self, tag: str, raw: str, own: bool) -> None:
+        stack = self.stack
+        if tag in _BLOCK:
+            self._end_block()
+            near = stack[-1][5]
+            if stack[near][0] == "p":  # an open paragraph or option ends where a block begins
+                self._cut(near)
+            elif self.open["option"] and (k := next((i for i in range(near + 1, len(stack)) if stack[i][0] == "option"), 0)):
+                self._cut(k)
         if tag in _ENDS:
             ends, limit = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in limit:
-                    break
-        if tag in ("td", "th"):
-            text.append(" ")
-        _, node, noise, inside = stack[-1]
-        noise = noise or _noise(tag, m[4], inside)
-        inside = inside or (tag in ("article", "main") and not noise)
-        if tag in _BLOCK and len(stack) < DEEPEST:
-            node = node.child(tag)
-        if not m[4].rstrip().endswith("/") or tag in _BLOCK:
-            stack.append((tag, node, noise, inside))
-    if at < len(html) and not stack[-1][2]:
-        text.append(html[at:])
-    end_block()
-    return root, blocks
-
-
-def skeleton(root: Node) -> list:
-    """The tree as nested lists [name, children...]; numbers the nodes in the order in which they stand."""
-    count = 0
-
-    def walk(n: Node) -> list:
-        nonlocal count
-        n.number = count
-        count += 1
-        return [n.name, *map(walk, n.kids)]
-
-    return walk(root)
-
-
-def _size(tree: list) -> int:
-    return 1 + sum(map(_size, tree[1:]))
-
-
-def tree_match(a: list, b: list, at: int = 0, bt: int = 0) -> tuple[int, dict[int, int]]:
-    """Simple tree matching: the most pairs of equal nodes, order and parents kept; (pairs, node of b -> node of a)."""
-    if a[0] != b[0]:
-        return 0, {}
-    m, n = len(a) - 1, len(b) - 1
-    a_at, b_at = [at + 1], [bt + 1]
-    for x in a[1:]:
-        a_at.append(a_at[-1] + _size(x))
-    for x in b[1:]:
-        b_at.append(b_at[-1] + _size(x))
-    if m * n > MOST_CELLS:
-        out, score, i = {bt: at}, 1, 0
-        for j in range(n):
-            k = next((k for k in range(i, m) if a[k + 1][0] == b[j + 1][0]), None)
-            if k is not None:
-                s, found = tree_match(a[k + 1], b[j + 1], a_at[k], b_at[j])
-                out, score, i = out | found, score + s, k + 1
-        return score, out
-    pair = [[tree_match(a[i + 1], b[j + 1], a_at[i], b_at[j]) for j in range(n)] for i in range(m)]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + pair[i - 1][j - 1][0])
-    out, i, j = {bt: at}, m, n
-    while i and j:
-        if pair[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + pair[i - 1][j - 1][0]:
-            out |= pair[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, out
+            if any(self.open[x] for x in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in ends:
+                        self._cut(i)
+                        break
+                    if stack[i][0] in limit:
+                        break
+        _, node, noise, inside, hint, near = stack[-1]
+        a = attributes(raw) if raw else {}
+        names = f"{a.get('class', '')} {a.get('id', '')}"
+        noise = noise or tag in _DROPPED or tag in _NOT_CONTENT or (tag == "header" and not inside) or (tag == "article" and inside and self.open["article"] > 0)  # an article in an article is a reader's comment
+        noise = noise or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES or bool(_HIDDEN.search(a.get("style", "")))
+        if names != " ":
+            if inside:
+                noise = noise or (tag in _GROUPS and _hints(names, True))
+            elif not hint and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+                hint = _hints(names, False)
+        inside = inside or (tag in ("article", "main") and not noise and not hint)
+        if tag in _BLOCK:
+            self.labels.append(_label(tag, names))
+            self.parents.append(node)
+            node = len(self.labels) - 1
+        if not own or tag in _BLOCK:
+            self.open[tag] += 1
+            stack.append((tag, node, noise, inside, hint, len(stack) if tag in _BLOCK else near))
 
 
-@lru_cache(maxsize=20_000)
-def _aligned(seed: str, page: str) -> dict[int, int]:
-    return tree_match(json.loads(seed), json.loads(page))[1]
+class Tree:
+    """A skeleton in page order: labels and children of its nodes, sizes and prints of their subtrees."""
+
+    def __init__(self, labels: list[str], parents: list[int]):
+        n = len(labels)
+        self.labels, self.kids = labels, [[] for _ in range(n)]
+        for i in range(1, n):
+            self.kids[parents[i]].append(i)
+        self.size, self.print = [1] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            self.size[i] += sum(self.size[k] for k in self.kids[i])
+            self.print[i] = hash((labels[i], *(self.print[k] for k in self.kids[i])))
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def skeleton(labels: list[str], parents: list[int]) -> tuple[list[str], list[int], list[int]]:
+    """The tree with brothers in a row that are alike (label and all below) made one node, a list slot.
+
+    Returns labels and parents in page order, and for each node of the page its node there.
+    """
+    tree = Tree(labels, parents)
+    shape = [0] * len(labels)  # as the print, but runs of like children count once
+    for i in range(len(labels) - 1, -1, -1):
+        kids = [shape[k] for k in tree.kids[i]]
+        shape[i] = hash((labels[i], *(x for j, x in enumerate(kids) if not j or x != kids[j - 1])))
+    kids: list[list[int]] = [[]]
+    names, place = [labels[0]], [0] * len(labels)
+    for i in range(len(labels)):
+        k, before = -1, None
+        for c in tree.kids[i]:
+            if shape[c] != before:
+                k, before = k + 1, shape[c]
+            own = kids[place[i]]
+            if k == len(own):
+                own.append(len(names))
+                names.append(labels[c])
+                kids.append([])
+            place[c] = own[k]
+    order, up, new = [], [], {}
+    todo = [(0, -1)]
+    while todo:  # number them in page order
+        x, parent = todo.pop()
+        new[x] = len(order)
+        order.append(names[x])
+        up.append(parent)
+        todo += [(c, new[x]) for c in reversed(kids[x])]
+    return order, up, [new[x] for x in place]
+
+
+def tree_match(a: Tree, b: Tree, x: int = 0, y: int = 0) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the most pairs of nodes with equal labels, order and parents kept; (pairs, [(node of b, node of a)]).
+
+    Children of one label pair up when their ranks among such brothers differ by :data:`BAND` at most; of these
+    pairs the heaviest chain in order is taken.
+    """
+    if a.labels[x] != b.labels[y]:
+        return 0, []
+    if a.print[x] == b.print[y] and a.size[x] == b.size[y]:
+        return a.size[x], [(y + k, x + k) for k in range(a.size[x])]
+    ranks: dict[str, list[int]] = {}
+    for i, u in enumerate(a.kids[x]):
+        ranks.setdefault(a.labels[u], []).append(i)
+    seen: dict[str, int] = {}
+    best: list[int] = [0] * (len(a.kids[x]) + 1)  # a Fenwick tree of the best chain that ends at a child of x or before
+    last: list[tuple | None] = [None] * (len(a.kids[x]) + 1)
+    for v in b.kids[y]:
+        label = b.labels[v]
+        r = seen[label] = seen.get(label, -1) + 1
+        found = []
+        for i in ranks.get(label, ())[max(0, r - BAND) : r + BAND + 1]:
+            score, pairs = tree_match(a, b, a.kids[x][i], v)
+            top, chain, k = 0, None, i
+            while k:
+                if best[k] > top:
+                    top, chain = best[k], last[k]
+                k -= k & -k
+            found.append((i, top + score, (chain, pairs)))
+        for i, score, chain in found:
+            k = i + 1
+            while k < len(best):
+                if score > best[k]:
+                    best[k], last[k] = score, chain
+                k += k & -k
+    top, chain, k = 0, None, len(best) - 1
+    while k:
+        if best[k] > top:
+            top, chain = best[k], last[k]
+        k -= k & -k
+    out = [(y, x)]
+    while chain:
+        chain, pairs = chain
+        out += pairs
+    return top + 1, out
+
+
+def _written(labels: list[str], parents: list[int]) -> str:
+    return "\n".join(f"{p}\t{x}" for p, x in zip(parents, labels))
+
+
+@lru_cache(maxsize=2_000)
+def _tree(written: str) -> Tree:
+    rows = [x.split("\t", 1) for x in written.split("\n")]
+    return Tree([x[1] for x in rows], [int(x[0]) for x in rows])
+
+
+@lru_cache(maxsize=20_000)
+def _aligned(seeds: tuple[str, ...], page: str) -> tuple[int, dict[int, int]]:
+    """Which seed the page matches best, and the seed's node for each of its nodes that has one."""
+    own, best = _tree(page), (0, 0, [])
+    for k, s in enumerate(seeds):
+        score, pairs = tree_match(_tree(s), own)
+        best = max(best, (score, -k, pairs), key=lambda x: x[:2])
+    return -best[1], dict(best[2])
+
+
+def _paths(labels: list[str], parents: list[int]) -> list[int]:
+    """For each node a hash of the labels from the root to it."""
+    out: list[int] = []
+    for x, p in zip(labels, parents):
+        out.append(xxhash.xxh64_intdigest(x, seed=out[p] if p >= 0 else 0))
+    return out
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, layout (the labels of the upper three levels) and skeleton of each page."""
+    sys.setrecursionlimit(1_000_000)
     for b in text_chunks(batches, 1):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(skeleton(page_blocks(x or "")[0])) for x in b.column(1).to_pylist()])], names=["host", "seed"])
+        layouts, trees = [], []
+        for html in b.column(1).to_pylist():
+            page = Page(html or "")
+            labels, parents, _ = skeleton(page.labels, page.parents)
+            depth = [0] * len(labels)
+            for i in range(1, len(labels)):
+                depth[i] = depth[parents[i]] + 1
+            layouts.append(xxhash.xxh64_intdigest("\n".join(sorted({x for x, d in zip(labels, depth) if d <= 3}))) >> 1)
+            trees.append(_written(labels, parents))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(layouts, pa.int64()), pa.array(trees, pa.string())], names=["host", "layout", "tree"])
+
+
+_BLOCKS = "array<struct<slot:bigint,inside:boolean,hint:boolean,text:string>>"
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+    """The blocks of each page with their slots: a node of the seed that the page matches best, or the path of a node that it lacks."""
+    sys.setrecursionlimit(1_000_000)
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("inside", pa.bool_()), ("hint", pa.bool_()), ("text", pa.string())]))
     for b in text_chunks(batches, 1):
         out = []
-        for html, seed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            root, blocks = page_blocks(html or "")
-            if any(inside for _, inside, _ in blocks):
-                blocks = [x for x in blocks if x[1]]
-            place = _aligned(seed, json.dumps(skeleton(root))) if seed else {}
-            out.append([{"slot": place.get(node.number, -1), "text": t} for node, _, t in blocks])
+        for html, seeds in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            page = Page(html or "")
+            labels, parents, place = skeleton(page.labels, page.parents)
+            which, slot = _aligned(tuple(seeds), _written(labels, parents)) if seeds else (0, {})
+            paths = None
+            rows = []
+            for node, inside, hint, text in page.blocks:
+                s = slot.get(place[node])
+                if s is None:
+                    paths = paths or _paths(labels, parents)
+                    s = -(paths[place[node]] >> 1) - 1
+                else:
+                    s = s * SEEDS + which
+                rows.append({"slot": s, "inside": inside, "hint": hint, "text": text})
+            out.append(rows)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(out, kind)], names=["row", "host", "blocks"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: id, url, text (blocks in page order, one line each) and n_chars (code points).
-
-    Each page is parsed into a tree of its block elements, where equal brothers in a row are one list slot. Menus,
-    headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles go by element, role
-    and name; where a page has an article or main element, only what stands in one is taken. Wrapper induction
-    finds the rest of the template: one page of each host (the least hash) is the seed; simple tree matching aligns
-    every page with the seed of its host, which gives each block a slot; a text that stands in the same slot of
-    :data:`TEMPLATE_SHARE` of the host's pages with that slot (:data:`LEAST_PAGES` or more of different texts) is
-    constant, a template node, and leaves all of them; what varies is content.
-
-    Only skeletons of seeds (names of elements) are joined by host, broadcast where Spark finds them small; pages
-    are parsed once and written as blocks. The counts of constant texts cover all pages; a hot host's are summed in
-    parts. Within a block white space becomes one space, character references are decoded; ``br`` is white space.
-    Null or empty html gives an empty text, null URLs form one host, broken markup is read as far as it goes.
+    """Per row: id, url, text (blocks in page order, one line each), n_chars (code points) and n_template (blocks that induction took away).
+
+    1. Each page is parsed, in one pass over its markup, into a tree of its block elements; brothers in a row that are
+       alike become one list slot. Menus, footers, asides, forms, hidden elements, scripts and styles go by element and role.
+    2. Wrapper induction: pages of a host with the same upper levels form a layout; of its :data:`SEEDS` most frequent
+       layouts one page each is a seed. Simple tree matching aligns every page with these seeds, and the best gives each
+       block its slot (a node that the seed lacks has its path for a slot).
+    3. A text that stands in the same slot of :data:`TEMPLATE_SHARE` of the host's pages with that slot is constant, a
+       template node, and leaves all of them; what varies is content. Different pages are counted, at least
+       :data:`LEAST_PAGES`; inside an article or main element, which the page itself calls content, :data:`LEAST_INSIDE`.
+    4. Of what is left, blocks in an article or main element are taken where a page has any. Elsewhere class names and
+       ids that hint at adverts, menus or comments decide, unless nothing else is left; inside an article only groups named
+       as adverts or readers' comments go (and articles in it, which are comments by the standard).
+
+    Only seeds' skeletons (labels of elements) are joined by host, broadcast where Spark finds them small. The counts of
+    constant texts cover all pages; a hot host's are summed in parts. Within a block white space becomes one space,
+    character references are decoded; ``br`` is white space. Null or empty html gives an empty text, null URLs form one
+    host, broken markup is read as far as it goes (end tags may be missing; a tag cut off at the end is dropped).
     Repeated rows keep a row each (and count once for the template).
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
-    chosen = p.where(F.col("html").isNotNull()).groupBy("host").agg(F.min(F.struct(F.xxhash64("url").alias("h"), "url", F.coalesce("id", F.lit(0)).alias("i"))).alias("m")).select("host", F.col("m.h").alias("h"), F.col("m.url").alias("u"), F.col("m.i").alias("i"))
-    chosen = stage(chosen, "chosen")
-    c = chosen.alias("c")
-    seed = p.alias("p").join(c, (F.col("p.host") == F.col("c.host")) & F.col("p.url").eqNullSafe(F.col("c.u")) & (F.coalesce("p.id", F.lit(0)) == F.col("c.i"))).select("p.host", "p.html")
-    seeds = stage(seed.mapInArrow(_seeds, "host string, seed string").groupBy("host").agg(F.min("seed").alias("seed")), "seeds")
+    layouts = p.where(F.col("html").isNotNull()).select("host", "html").mapInArrow(_layouts, "host string, layout long, tree string").groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("tree").alias("tree"))
+    order = Window.partitionBy("host").orderBy(F.desc("n"), "layout")
+    most = stage(layouts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SEEDS), "layouts")
+    seeds = stage(most.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "tree"))), lambda x: x["tree"]).alias("seeds")), "seeds")
 
     row = f"struct<id:{dict(p.dtypes)['id']},url:string>"
-    blocks = stage(p.join(seeds, "host", "left").select(F.struct("id", "url").alias("row"), "html", "seed", "host").mapInArrow(_slots, f"row {row}, host string, blocks array<struct<slot:int,text:string>>"), "blocks")
-    kinds = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("key"))))
-    whole = blocks.select("host", F.xxhash64("blocks").alias("page"), kinds.alias("kinds")).distinct()
-    each = whole.select("host", F.explode("kinds").alias("k")).groupBy("host", "k.slot", "k.key").agg(F.count("*").alias("n")).where(F.col("n") >= int(LEAST_PAGES * TEMPLATE_SHARE))
+    blocks = stage(p.join(seeds, "host", "left").select(F.struct("id", "url").alias("row"), "html", "seeds", "host").mapInArrow(_slots, f"row {row}, host string, blocks {_BLOCKS}"), "blocks")
+    key = lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("key"))
+    whole = blocks.select("host", F.xxhash64("blocks").alias("page"), F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("key"), b["inside"].alias("inside")))).alias("kinds")).distinct()
+    each = whole.select("host", F.explode("kinds").alias("k")).groupBy("host", "k.slot", "k.key").agg(F.count("*").alias("n"), F.max("k.inside").alias("inside")).where(F.col("n") >= F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_PAGES))
     slots = whole.select("host", F.explode(F.array_distinct(F.transform("kinds", lambda k: k["slot"]))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     fixed = each.join(slots, ["host", "slot"]).where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
     template = stage(fixed.groupBy("host").agg(F.collect_set(F.struct("slot", "key")).alias("template")), "template")
-    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains(F.col("template"), F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("key")))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = blocks.join(template, "host", "left").select("row.id", "row.url", text.alias("text"))
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+
+    left = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains(F.col("template"), key(b))))
+    out = blocks.join(template, "host", "left").select("row", F.size("blocks").alias("n"), left.alias("left"))
+    main, plain = F.filter("left", lambda b: b["inside"]), F.filter("left", lambda b: ~b["hint"])
+    taken = F.when(F.size(main) > 0, main).when(F.size(plain) > 0, plain).otherwise(F.col("left"))
+    text = F.array_join(F.transform(taken, lambda b: b["text"]), "\n")
+    out = out.select("row.id", "row.url", text.alias("text"), (F.col("n") - F.size("left")).cast("long").alias("n_template"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_template")

@@ -1,12 +1,22 @@
+import time
 from html import unescape
 
-from statloom.llm.html_extract import extract_text, page_blocks, skeleton, tree_match
+import pytest
+
+from statloom.llm.html_extract import Page, Tree, extract_text, skeleton, tree_match
 
 PAGE = "page_id long, url string, html string"
 
 
 def _texts(html):
-    return [t for _, _, t in page_blocks(html)[1]]
+    blocks = Page(html).blocks
+    inside = [x for x in blocks if x[1]]
+    return [t for *_, t in inside or [x for x in blocks if not x[2]]]
+
+
+def _tree(html):
+    page = Page(html)
+    return Tree(*skeleton(page.labels, page.parents)[:2])
 
 
 def test_noise_goes_and_blocks_stay_apart():
@@ -24,20 +34,64 @@ def test_broken_markup():
     assert _texts("") == []
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>T</title><body><p>Main text</p>", ["Main text"]),
+    ("<p>a<svg/><p>b", ["a", "b"]),
+    ("<p>a<svg><text>no</text></svg><p>b", ["a", "b"]),
+    ("<p>a<button>go<p>b", ["a go", "b"]),
+    ("<p>a<button>no</button><p>b", ["a", "b"]),
+    ("<p>a<select><option>no<option>no</select><p>b", ["a", "b"]),
+    ("<p>a<option>no<p>b", ["a", "b"]),
+    ("<article><h2 id=search>Search algorithms</h2><p class=related>r</p><section id=navigation><p>n</p></section></article>", ["Search algorithms", "r", "n"]),
+    ("<article><p>a</p><div class='ad-box'>no</div><div class=comments><p>no</p></div><article>no</article><p>b</p></article>", ["a", "b"]),
+    ("<div class=side-effects>a</div><div class='ad top'>no</div><div style='display: none'>no</div><p hidden>no</p>", ["a"]),
+    ("<div class=widget><p>all there is</p></div>", []),
+    ("a<!-->b<!-- x", ["ab"]),
+    ("a<!b>c</ d>e<?f>g", ["aceg"]),
+    ("<p>x</p><textarea>no", ["x"]),
+    ("<p data-class='ad'>a<p id='a1'>b", ["a", "b"]),
+])
+def test_markup(html, want):
+    assert _texts(html) == want
+
+
+@pytest.mark.parametrize("page", ["<a " + 'b="c" ' * 50, "<a " + 'b="c" ' * 200_000, "<a " * 200_000, "<p>x</p>" + '<a b="' * 100_000, "</" * 200_000, "<!-" * 200_000, "<div>" * 20_000, "<option>" * 50_000, "<button>" * 50_000, "<div>" * 20_000 + "</b>" * 50_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<b =\"'" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    start = time.time()
+    Page(page)
+    assert time.time() - start < 3
+
+
 def test_simple_tree_matching():
-    a = skeleton(page_blocks("<div><p>1</p><ul><li>2</ul></div>")[0])
-    b = skeleton(page_blocks("<div><h1>0</h1><p>1</p><ul><li>2</ul><p>3</p></div>")[0])
+    a = _tree("<div><p>1</p><ul><li>2</ul></div>")
+    b = _tree("<div><h1>0</h1><p>1</p><ul><li>2</ul><p>3</p></div>")
     score, pairs = tree_match(a, b)
-    assert score == 5 and len(pairs) == 5
+    assert score == 5 and len(pairs) == 5 == len(set(pairs))
+    assert all(a.labels[x] == b.labels[y] for y, x in pairs)
     assert tree_match(a, a)[0] == 5
+    wide = _tree("".join(f"<p>{k}</p><div><h{k % 6 + 1}>t</h{k % 6 + 1}></div>" for k in range(300)))
+    assert tree_match(wide, wide)[0] == len(wide.labels)
+    assert tree_match(wide, _tree("<h1>x</h1>" + "".join(f"<p>{k}</p><div><h{k % 6 + 1}>t</h{k % 6 + 1}></div>" for k in range(300))))[0] == len(wide.labels)
+
+
+def test_like_brothers_are_one_slot():
+    assert _tree("<div>a</div><div>b</div><div><p>c</p></div><div><p>d</p><p>e</p></div>").labels == ["#", "div", "div", "p"]
 
 
 def test_constant_text_of_a_host_is_template(spark):
-    rows = [(i, f"http://h.com/{i}", f"<body><div><p>Welcome to h</p></div><div><p>story {i}</p><p>more {i * i}</p></div></body>") for i in range(30)]
+    rows = [(i, f"http://h.com/{i}", f"<body><div><div>Welcome to h</div><div>Terms</div></div><div><p>story {i}</p><p>more {i * i}</p></div></body>") for i in range(30)]
     rows += [(100 + i, f"http://few.com/{i}", f"<body><div><p>Welcome to few</p></div><div><p>tale {i}</p></div></body>") for i in range(3)]
-    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
-    assert got[7] == "story 7\nmore 49"
-    assert got[101] == "Welcome to few\ntale 1"
+    rows += [(200 + i, f"http://two.com/{i}", f"<body><div><p>Welcome to two</p></div><div><p>tale {i}</p></div></body>") for i in range(2)]
+    # two layouts beside each other, pages with parts that the seed lacks, and a notice in the midst of articles
+    rows += [(300 + i, f"http://mix.com/{i}", f"<body><div>Mix</div><ul><li>a {i}</ul></body>" if i % 3 else f"<body><table><tr><td>Mix table</table><p>b {i}</p>{'<blockquote>Quoted</blockquote>' if i % 2 else ''}</body>") for i in range(40)]
+    rows += [(400 + i, f"http://art.com/{i}", f"<body><article><p>art {i}</p><div>Read more</div></article></body>") for i in range(20)]
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+    assert got[7].text == "story 7\nmore 49" and got[7].n_template == 2
+    assert got[101].text == "tale 1" and got[101].n_template == 1
+    assert got[201].text == "Welcome to two\ntale 1"
+    assert all(got[300 + i].text == (f"a {i}" if i % 3 else f"b {i}") for i in range(40))
+    assert got[405].text == "art 5"
+    assert sum(r.n_template for r in got.values()) == 60 + 3 + 40 + 7 + 20
 
 
 def test_copies_of_one_page_are_no_template(spark):
