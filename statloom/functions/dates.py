@@ -31,6 +31,12 @@ def season_start(date: Column, first_month: int = 10) -> Column:
     return F.make_date(F.when(F.month(date) >= first_month, F.year(date)).otherwise(F.year(date) - 1), F.lit(first_month), F.lit(1))
 
 
+def minutes_played(text: Column) -> Column:
+    """Minutes from text such as '34:12' (minutes and seconds) or '34'; null for any other text."""
+    whole, rest = (F.split_part(text, F.lit(":"), F.lit(k)).try_cast("double") for k in (1, 2))
+    return F.when(F.contains(text, F.lit(":")), whole + rest / 60).otherwise(text.try_cast("double"))
+
+
 def upper_date(date: Column) -> Column:
     """A date as 'APR 05, 2025'."""
     return F.upper(F.date_format(date, "MMM dd, yyyy"))

@@ -37,15 +37,18 @@ def upsert(target: DataFrame, stage: DataFrame, key: list[str], update: list[str
 
 
 def replace_since(old: DataFrame, new: DataFrame, date: str, cutoff: Column) -> DataFrame:
-    """Rows before the cutoff stay, those from it on are replaced by the new ones; the same new rows twice change nothing."""
-    return old.where(F.col(date) < cutoff).unionByName(new.where(F.col(date) >= cutoff).select(*old.columns))
+    """Old rows from the cutoff on go, and all new rows are added; old rows before it or without a date stay.
+
+    As a delete by date and an append: new rows are expected to lie from the cutoff on, but none is dropped.
+    """
+    return old.where(~F.coalesce(F.col(date) >= cutoff, F.lit(False))).unionByName(new.select(*old.columns))
 
 
 def replace_since_by_key(old: DataFrame, new: DataFrame, key: list[str], date: str, cutoff: Column) -> DataFrame:
     """As :func:`replace_since`, but only for entities that the new rows hold; one pass for all of them."""
     fresh = new.where(F.col(date) >= cutoff)
     recent = old.where(F.col(date) >= cutoff).join(fresh.select(*key).distinct(), key, "left_anti")
-    return old.where((F.col(date) < cutoff) | F.col(date).isNull()).unionByName(recent).unionByName(fresh.select(*old.columns))
+    return old.where(~F.coalesce(F.col(date) >= cutoff, F.lit(False))).unionByName(recent).unionByName(fresh.select(*old.columns))
 
 
 def backfill(df: DataFrame, lookup: DataFrame, on: list[str], columns: list[str], overwrite: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statloom.plans import landing
+
 _SEASON = "(CASE WHEN month({d}) >= 10 THEN year({d}) ELSE year({d}) - 1 END)"
 
 
@@ -103,7 +105,7 @@ _UPPER_DATE = "upper(strftime(o_orderdate, '%b %d, %Y'))"
 _STAGE = """stage AS (
   SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 10 = 0
   UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 100 = 1)"""
-_RELOADED = """o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice FROM orders),
+_RELOADED = """o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 20 <> 7 THEN CAST(o_orderdate AS DATE) END AS o_orderdate, o_totalprice FROM orders),
 n AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice + 1 AS o_totalprice FROM o WHERE o_custkey % 3 = 0)"""
 _MATCHUP = "(SELECT o_orderkey, o_orderstatus AS a, split_part(o_orderpriority, '-', 1) AS b, o_orderkey % 2 = 0 AS home FROM orders)"
 
@@ -171,7 +173,7 @@ SELECT a.team_id, count(*) AS meetings, round(avg(win_rate), 6) AS opponent_win_
     "sliding_form": f"WITH {_PG} SELECT player_id, game_id, round(avg(fga) OVER w, 6) AS mean, round(stddev_samp(fga) OVER w, 6) AS deviation FROM pg WINDOW w AS (PARTITION BY player_id ORDER BY game_date, game_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
     "upsert_merge": f"WITH {_STAGE} SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM stage) UNION ALL SELECT * FROM stage)",
     "upsert_some_columns": f"WITH {_STAGE} SELECT c_custkey, c.c_name, round(coalesce(s.c_acctbal, c.c_acctbal), 6) AS c_acctbal FROM customer c LEFT JOIN stage s USING (c_custkey) UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 6) FROM stage WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)",
-    "scoped_replace_date": f"WITH {_RELOADED} SELECT o_orderkey, o_custkey, o_orderdate, round(o_totalprice, 6) AS o_totalprice FROM (SELECT * FROM o WHERE o_orderdate < {_AS_OF} UNION ALL SELECT * FROM n WHERE o_orderdate >= {_AS_OF})",
+    "scoped_replace_date": f"WITH {_RELOADED} SELECT o_orderkey, o_custkey, o_orderdate, round(o_totalprice, 6) AS o_totalprice FROM (SELECT * FROM o WHERE o_orderdate < {_AS_OF} OR o_orderdate IS NULL UNION ALL SELECT * FROM n)",
     "scoped_replace_key_date": f"WITH {_RELOADED} SELECT o_orderkey, o_custkey, o_orderdate, round(CASE WHEN o_custkey % 3 = 0 AND o_orderdate >= {_AS_OF} THEN o_totalprice + 1 ELSE o_totalprice END, 6) AS o_totalprice FROM o",
     "lookup_backfill": "SELECT c_custkey, c_nationkey AS n_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
     "fix_list": "SELECT c_custkey, CASE WHEN c_custkey % 50 = 3 AND c_custkey % 100 <> 3 THEN 0 ELSE c_nationkey END AS c_nationkey FROM customer",
@@ -211,4 +213,4 @@ _SQL["ridge_blend"] = _ridge()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | landing.SQL

@@ -11,7 +11,7 @@ from statloom.functions import dates, html, text
 from statloom.functions import metrics as m
 from statloom.operators import mutate
 from statloom.operators import relational as rel
-from statloom.plans import games, model, scores
+from statloom.plans import games, landing, model, scores
 from statloom.sources.files import query, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,7 +413,8 @@ def upsert_some_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reloaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    day = F.when(F.col("o_orderkey") % 20 != 7, F.col("o_orderdate").cast("date"))
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("o_orderdate", day)
     return o, o.where("o_custkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
 
 
@@ -482,4 +483,4 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | landing.QUERIES

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .schemas import Table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A Parquet table of a folder; with columns, only those (the scan reads no others)."""
@@ -23,6 +25,16 @@ def delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str
     return spark.read.csv(path, schema=schema, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="")
 
 
+def land(df: DataFrame, t: Table, path: str) -> None:
+    """Write rows as a logical table's landing files: all its columns in order, those that the rows lack null."""
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema]).write.mode("overwrite").csv(path, header=True)
+
+
+def landed(spark: SparkSession, t: Table, path: str) -> DataFrame:
+    """Landing files by a logical table's schema; a file whose header has other names is an error."""
+    return spark.read.csv(path, schema=t.schema, header=True, enforceSchema=False, nullValue="")
+
+
 def titled_json(spark: SparkSession, path: str) -> DataFrame:
     """A file with an array of maps title -> attributes, attributes differing: one row a (title, attribute).
 

@@ -8,7 +8,7 @@ PAGE = """<div><!-- <table id="misc"><thead><tr><th></th><th>Group</th></tr><tr>
 
 
 def test_table_in_a_comment():
-    assert html.read_table(PAGE, "misc") == [(0, 0, "Player", "A & B"), (0, 1, "", "1"), (0, 2, "GP", "2"), (1, 0, "Player", "C"), (1, 1, "", "3"), (1, 2, "GP", "4")]
+    assert html.read_table(PAGE, "misc") == [(0, 0, "", "Player", "A & B"), (0, 1, "Group", "", "1"), (0, 2, "", "GP", "2"), (1, 0, "", "Player", "C"), (1, 1, "Group", "", "3"), (1, 2, "", "GP", "4")]
     assert html.read_table("<p>none</p>") == [] and html.read_table(None) == []
 
 

