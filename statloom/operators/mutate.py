@@ -6,7 +6,7 @@ swapped in, or (date-scoped, on partitioned tables) only the partitions that cha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,19 @@ def overwrite(df: DataFrame, path: str, partition: str | None = None) -> None:
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the table's file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_partition(spark: SparkSession, path: str, partition: str, value: object) -> None:
+    """Delete the files of one value of a partitioned table."""
+    rows = spark.read.parquet(path).where(F.col(partition).eqNullSafe(F.lit(value))).select("_metadata.file_path").distinct()
+    for folder in {r[0].rsplit("/", 1)[0] for r in rows.collect()}:
+        drop_folder(spark, folder)
+
+
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     w = df.write.mode("append")
     (w.partitionBy(partition) if partition else w).parquet(path)

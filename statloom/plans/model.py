@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float) -> tuple[float, dict[str, float]]:
-    """Intercept and coefficients of a ridge regression (squared error plus alpha times squared coefficients).
+def ridge_column(df: DataFrame, features: list[str], label: str, alpha: float) -> Column:
+    """The regression of :func:`ridge_fit` as a scalar subquery: an array of the intercept and the coefficients.
 
-    The sums of products are one aggregation over the data (k * k numbers, whatever its size); the k x k system is
-    solved on the driver. Rows with a null feature or label are left out.
+    Counts, means and covariances are one pass of one aggregation, and the k x k system is solved in a task, so
+    building the plan runs no job. Null where no complete row is there to fit.
     """
     names = [*features, label]
+    k = len(features)
     rows = df.select(*[F.col(c).cast("double") for c in names]).dropna()
-    means = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
-    if not means["n"]:
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = rows.agg(F.count("*").cast("double").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if not r["n"]:
+                    out.append(None)
+                    continue
+                cov = np.zeros((k + 1, k + 1))
+                for i, j in pairs:
+                    cov[i, j] = cov[j, i] = r["n"] * r[f"c{i}_{j}"]
+                beta = np.linalg.solve(cov[:k, :k] + alpha * np.eye(k), cov[:k, k])
+                out.append([r[f"m{k}"] - float(beta @ [r[f"m{i}"] for i in range(k)]), *map(float, beta)])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["fit"])
+
+    return sums.mapInArrow(solve, "fit array<double>").scalar()
+
+
+def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float) -> tuple[float, dict[str, float]]:
+    """Intercept and coefficients of a ridge regression (squared error plus alpha times squared coefficients), as numbers.
+
+    Rows with a null feature or label are left out.
+    """
+    fit = df.sparkSession.range(1).select(ridge_column(df, features, label, alpha)).first()[0]
+    if fit is None:
         raise ValueError("no complete rows to fit")
-    centred = rows.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in names])
-    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
-    k = len(features)
-    gram = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    cross = np.array([sums[f"{i}_{k}"] for i in range(k)])
-    beta = np.linalg.solve(gram + alpha * np.eye(k), cross)
-    return float(means[label] - beta @ [means[c] for c in features]), dict(zip(features, map(float, beta)))
+    return fit[0], dict(zip(features, fit[1:]))
 
 
-def predict(fit: tuple[float, dict[str, float]]) -> Column:
-    """The regression as a column; null features count as 0."""
-    intercept, beta = fit
-    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * b for c, b in beta.items()], F.lit(intercept))
+def predict(fit: Column, features: list[str]) -> Column:
+    """The regression (intercept and coefficients in an array) as a column; null features count as 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.get(fit, F.lit(i + 1)) for i, c in enumerate(features)], F.get(fit, F.lit(0)))
 
 
 def ridge_blend(df: DataFrame, features: list[str], label: str, minutes: str, out: str, alpha: float = 0.5, least: float = 10.0, full: float = 20.0) -> DataFrame:
@@ -40,6 +61,13 @@ def ridge_blend(df: DataFrame, features: list[str], label: str, minutes: str, ou
 
     The regression is fitted on rows with at least ``least`` minutes and no missing features.
     """
-    fit = ridge_fit(df.where(F.col(minutes) >= least), features, label, alpha)
+    fit = ridge_column(df.where(F.col(minutes) >= least), features, label, alpha)
     weight = F.least(F.coalesce(F.col(minutes), F.lit(0.0)) / full, F.lit(1.0))
-    return df.withColumn(out, weight * F.coalesce(F.col(label), F.lit(0.0)) + (1 - weight) * predict(fit))
+    fitted = df.withColumn("_fit", fit)
+    return fitted.withColumn(out, weight * F.coalesce(F.col(label), F.lit(0.0)) + (1 - weight) * predict(F.col("_fit"), features)).drop("_fit")
+
+
+def estimated_ratings(df: DataFrame, offence: tuple[list[str], str], defence: tuple[list[str], str], minutes: str, **options: float) -> DataFrame:
+    """Add e_off, e_def and e_net: two blended ratings, each from its own features and raw rating, and their difference."""
+    both = ridge_blend(ridge_blend(df, *offence, minutes, "e_off", **options), *defence, minutes, "e_def", **options)
+    return both.withColumn("e_net", F.col("e_off") - F.col("e_def"))

@@ -75,7 +75,7 @@ recent AS (SELECT *, 0.6::DOUBLE * form_10 + 0.4::DOUBLE * form_5 AS recent FROM
 
 _ROSTER = f"""avgs AS (SELECT player_id, COUNT(*) AS gp, {', '.join(f'avg({c}) AS {c}' for c in _COLS)} FROM pg GROUP BY 1),
 roster AS (
-  SELECT player_id, c_name AS name, c_nationkey AS team_id, gp, min / 4 AS min, fta / nullif(fga, 0) AS pie, {_usg()} AS usg, pm / {_poss()} AS net, {_ts()} AS ts, {_tovr()} AS tov
+  SELECT player_id, c_name AS name, c_nationkey AS team_id, gp, min / 4 AS min, fta / nullif(fga, 0) AS pie, {_usg()} AS usg, pm / {_poss()} AS net, pts / {_poss()} AS off, (pts - pm) / {_poss()} AS def, {_ts()} AS ts, {_tovr()} AS tov
   FROM avgs JOIN customer ON c_custkey = player_id)"""
 
 
@@ -148,7 +148,8 @@ _SQL: dict[str, str] = {
     "season_fallback": f"WITH {_PG}, b AS (SELECT *, CAST(CASE WHEN season = '1997-98' THEN 0 ELSE 1 END AS BIGINT) AS source_rank FROM pg WHERE season IN ('1997-98', '1996-97')) SELECT player_id, game_id, rn, source_rank FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY source_rank, game_date DESC, game_id DESC) AS rn FROM b) WHERE rn <= 3",
     "matchup_parse": f"SELECT o_orderkey, a AS team, CASE WHEN home THEN a ELSE b END AS home_team, home AS at_home FROM {_MATCHUP}",
     "season_of_date": f"SELECT o_orderkey, {_season('o_orderdate')} AS season FROM orders",
-    "multi_format_date": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderdate AS DATE) END AS game_date, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN {_UPPER_DATE} ELSE 'not a date' END AS shown FROM orders",
+    "multi_format_date": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 7 < 6 THEN CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END END AS game_date,
+  CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN {_UPPER_DATE} WHEN 3 THEN strftime(o_orderdate, '%m-%d-%Y') WHEN 4 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 5 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE 'not a date' END AS shown FROM orders""",
     "bucket_5day": "WITH p AS (SELECT CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / 5) AS INTEGER) AS bucket, user_id, avg(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, count(*) AS buckets, round(avg(v), 6) AS mean_of_means FROM p GROUP BY 1",
     "games_factor_pow": f"SELECT o_custkey, round({_factor('count(*)')}, 6) AS factor FROM orders GROUP BY 1",
     "category_case": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Star' WHEN p_size > 15 AND p_size < 25 THEN 'Rotation' END AS category, CASE WHEN p_size > 30 THEN 'Star' WHEN p_size > 15 AND p_size < 30 THEN 'Rotation' END AS category_30 FROM part",
@@ -193,23 +194,33 @@ def _det(m: list[list[str]]) -> str:
     return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
 
 
-def _ridge() -> str:
+def _ridge(x: tuple[str, str, str] = ("usg", "ts", "pie"), label: str = "net", out: str = "e_net", digits: int = 6) -> str:
     """Three features, so the normal equations are solved by Cramer's rule."""
-    x = ("usg", "ts", "pie")
     gram = [[f"s_{a}_{b}" if a < b else f"s_{b}_{a}" if a > b else f"(s_{a}_{a} + 0.5::DOUBLE)" for b in x] for a in x]
-    sums = [f"sum((p.{a} - m.{a}) * (p.{b} - m.{b})) AS s_{a}_{b}" for a in x for b in x if a <= b] + [f"sum((p.{a} - m.{a}) * (p.net - m.net)) AS y_{a}" for a in x]
+    sums = [f"sum((p.{a} - m.{a}) * (p.{b} - m.{b})) AS s_{a}_{b}" for a in x for b in x if a <= b] + [f"sum((p.{a} - m.{a}) * (p.{label} - m.{label})) AS y_{a}" for a in x]
     betas = ", ".join(f"{_det([[f'y_{a}' if j == k else gram[i][j] for j in range(3)] for i, a in enumerate(x)])} / {_det(gram)} AS b_{c}" for k, c in enumerate(x))
     line = " + ".join(f"coalesce({a}, 0) * b_{a}" for a in x)
     mean = " - ".join(f"b_{a} * m_{a}" for a in x)
     return f"""WITH {_PG}, {_ROSTER},
-p AS (SELECT * FROM roster WHERE min >= 20 AND usg IS NOT NULL AND ts IS NOT NULL AND pie IS NOT NULL AND net IS NOT NULL),
-m AS (SELECT avg(usg) AS usg, avg(ts) AS ts, avg(pie) AS pie, avg(net) AS net FROM p),
-s AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(m.{a}) AS m_{a}' for a in (*x, 'net'))} FROM p, m),
+p AS (SELECT * FROM roster WHERE min >= 20 AND {' AND '.join(f'{a} IS NOT NULL' for a in (*x, label))}),
+m AS (SELECT {', '.join(f'avg({a}) AS {a}' for a in (*x, label))} FROM p),
+s AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(m.{a}) AS m_{a}' for a in (*x, label))} FROM p, m),
 b AS (SELECT *, {betas} FROM s)
-SELECT player_id, round(least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE) * coalesce(net, 0) + (1 - least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE)) * (m_net - {mean} + {line}), 6) AS e_net FROM roster, b"""
+SELECT player_id, round(least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE) * coalesce({label}, 0) + (1 - least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE)) * (m_{label} - {mean} + {line}), {digits}) AS {out} FROM roster, b"""
 
 
 _SQL["ridge_blend"] = _ridge()
+_OFF, _DEF = _ridge(label="off", out="e_off", digits=12), _ridge(("pie", "tov", "usg"), "def", "e_def", 12)
+_SQL["estimated_ratings"] = f"SELECT player_id, round(e_off, 6) AS e_off, round(e_def, 6) AS e_def, round(e_off - e_def, 6) AS e_net FROM ({_OFF}) JOIN ({_DEF}) USING (player_id)"
+_SQL["head_to_head_topped"] = _meetings(["net", "efg", "oreb"], f"WHERE a.game_date < {_AS_OF} AND a.season IN ('1997-98', '1996-97')")
+_SQL["contribution_at_date"] = f"""WITH {_PG.replace('pg AS', 'every AS')}, season AS (SELECT * FROM every WHERE season = '1997-98'), pg AS (SELECT * FROM season WHERE game_date <= {_AS_OF}), {_recent(False)[len(_PG) + 2:]}, {_ROSTER}, {_CL},
+own AS (SELECT player_id, count(*) AS player_gp FROM season GROUP BY 1),
+team AS (SELECT c_nationkey AS team_id, count(DISTINCT game_id) AS team_gp FROM season JOIN customer ON c_custkey = player_id GROUP BY 1),
+parts AS (
+  SELECT r.player_id, name, 0.175::DOUBLE * pie + 0.125::DOUBLE * usg + 0.1::DOUBLE * net * {_factor('player_gp', 'CAST(team_gp AS DOUBLE)')} AS p1, 0.125::DOUBLE * ts + 0.05::DOUBLE * tov + 0.15::DOUBLE * min AS p2,
+         coalesce((0.5::DOUBLE * csp + 0.25::DOUBLE * cur + 0.25::DOUBLE * cnr) * {_factor('player_gp', 'CAST(team_gp AS DOUBLE)')}, 0) AS p3, recent, CASE WHEN min > 25 THEN 'Star' WHEN min > 15 AND min < 25 THEN 'Rotation' ELSE 'Other' END AS category
+  FROM roster r JOIN own USING (player_id) JOIN team USING (team_id) LEFT JOIN cm ON cm.player_id = r.player_id LEFT JOIN recent ON recent.player_id = r.player_id)
+SELECT player_id, name, round(p1, 6) AS "primary", round(p2, 6) AS secondary, round(p3, 6) AS clutch, round(recent, 6) AS recent, category, round(0.5::DOUBLE * (p1 + p2) + 0.3::DOUBLE * p3 + 0.2::DOUBLE * recent, 6) AS score FROM parts"""
 
 
 def oracle_sql() -> dict[str, str]:

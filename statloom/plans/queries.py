@@ -139,14 +139,15 @@ def sort_by_text_date(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ joins
 
 
-def _roster(spark: SparkSession, d: str) -> DataFrame:
-    """Players with their ratings over all games: name, team_id, gp, min (minutes a game), pie, usg, net, ts, tov."""
-    g = games.player_games(spark, d)
+def _roster(spark: SparkSession, d: str, g: DataFrame | None = None) -> DataFrame:
+    """Players with their ratings over all (or the given) games: name, team_id, gp, min (minutes a game), pie, usg, net, off, def, ts, tov."""
+    g = games.player_games(spark, d) if g is None else g
     a = g.groupBy("player_id").agg(F.count("*").alias("gp"), *[F.avg(c).alias(c) for c in ("min", "pts", "pm", "fga", "fta", "tov", "oreb")])
     pie = m.ratio(F.col("fta"), F.col("fga"))
-    rated = a.select("player_id", "gp", (F.col("min") / 4).alias("min"), pie.alias("pie"), m.usage(F.col("fga"), F.col("fta"), F.col("tov"), F.col("min")).alias("usg"), m.net_rating(F.col("pm"), m.possessions(F.col("fga"), F.col("fta"), F.col("oreb"), F.col("tov"))).alias("net"), m.true_shooting(F.col("pts"), F.col("fga"), F.col("fta")).alias("ts"), m.turnover_rate(F.col("fga"), F.col("fta"), F.col("tov")).alias("tov"))
+    poss = m.possessions(F.col("fga"), F.col("fta"), F.col("oreb"), F.col("tov"))
+    rated = a.select("player_id", "gp", (F.col("min") / 4).alias("min"), pie.alias("pie"), m.usage(F.col("fga"), F.col("fta"), F.col("tov"), F.col("min")).alias("usg"), m.net_rating(F.col("pm"), m.possessions(F.col("fga"), F.col("fta"), F.col("oreb"), F.col("tov"))).alias("net"), m.ratio(F.col("pts"), poss).alias("off"), m.ratio(F.col("pts") - F.col("pm"), poss).alias("def"), m.true_shooting(F.col("pts"), F.col("fga"), F.col("fta")).alias("ts"), m.turnover_rate(F.col("fga"), F.col("fta"), F.col("tov")).alias("tov"))
     c = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey")
-    return c.join(rated, F.col("c_custkey") == F.col("player_id")).select("player_id", F.col("c_name").alias("name"), F.col("c_nationkey").alias("team_id"), "gp", "min", "pie", "usg", "net", "ts", "tov")
+    return c.join(rated, F.col("c_custkey") == F.col("player_id")).select("player_id", F.col("c_name").alias("name"), F.col("c_nationkey").alias("team_id"), "gp", "min", "pie", "usg", "net", "off", "def", "ts", "tov")
 
 
 def _clutch(spark: SparkSession, d: str) -> DataFrame:
@@ -307,8 +308,10 @@ def season_of_date(spark: SparkSession, d: str) -> DataFrame:
 
 @_register
 def multi_format_date(spark: SparkSession, d: str) -> DataFrame:
-    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    shown = F.when(k == 0, F.date_format(day, "yyyy-M-d")).when(k == 1, F.date_format(day, "MM/dd/yyyy")).when(k == 2, dates.upper_date(day)).otherwise("not a date")
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    shown = F.lit("not a date")
+    for i, f in enumerate(("yyyy-M-d", "MM/dd/yyyy", "", "MM-dd-yyyy", "dd-MM-yyyy", "dd/MM/yyyy")):  # a day up to 12 also fits an earlier format
+        shown = F.when(k == i, F.date_format(day, f) if f else dates.upper_date(day)).otherwise(shown)
     return table(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", dates.parse_date(shown).alias("game_date"), shown.alias("shown"))
 
 
@@ -361,6 +364,30 @@ def contribution_score(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(scores.contributions(_roster(spark, d), _clutch(spark, d), recent))
 
 
+@_register
+def contribution_at_date(spark: SparkSession, d: str) -> DataFrame:
+    """Contributions as of a date: games of its season up to it, weighted by the player's share of the team's games."""
+    day, season = F.lit(_AS_OF).cast("date"), "1997-98"
+    g = games.player_games(spark, d).where(F.col("season") == season)
+    players = _roster(spark, d, g.where(F.col("game_date") <= day))
+    whole = g.groupBy("player_id").agg(F.count("*").alias("gp"))
+    team = g.join(table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_nationkey").alias("team_id")), "player_id").groupBy("team_id").agg(F.countDistinct("game_id").alias("team_gp"))
+    players = players.drop("gp").join(whole, "player_id").join(team, "team_id")
+    recent = scores.recent_form(g.where(F.col("game_date") <= day))
+    return _rounded(scores.contributions(players, _clutch(spark, d), recent, team_games="team_gp", others="Other"))
+
+
+@_register
+def estimated_ratings(spark: SparkSession, d: str) -> DataFrame:
+    p = _roster(spark, d)
+    return _rounded(model.estimated_ratings(p, (["usg", "ts", "pie"], "off"), (["pie", "tov", "usg"], "def"), "min", least=20.0).select("player_id", "e_off", "e_def", "e_net"))
+
+
+@_register
+def head_to_head_topped(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scores.head_to_head(games.team_games(spark, d), _TEAM_METRICS, F.lit(_AS_OF).cast("date"), seasons=("1997-98", "1996-97")))
+
+
 @_register
 def team_form(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(scores.team_form(games.team_games(spark, d), F.lit(_AS_OF).cast("date")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import metrics as m
-from statloom.operators.relational import latest_n, self_pairs
+from statloom.operators.relational import latest_n, self_pairs, topped_up
 
 _BOX = ("pts", "pm", "min", "fga", "fta", "tov", "oreb")
 _TEAM = ("net", "efg", "tov", "oreb", "dreb", "ft")
@@ -27,14 +27,16 @@ def recent_form(games: DataFrame, compat: bool = False) -> DataFrame:
     return out.withColumn("recent", m.blend(F.col("form_10"), F.col("form_5")))
 
 
-def contributions(players: DataFrame, clutch: DataFrame, recent: DataFrame) -> DataFrame:
+def contributions(players: DataFrame, clutch: DataFrame, recent: DataFrame, team_games: str | None = None, others: str | None = None) -> DataFrame:
     """Contribution of each player: players has player_id, name, gp, min, pie, usg, net, ts, tov; clutch and recent are left-joined.
 
-    Players outside both minute bands (more than 25; between 15 and 25) drop out; a player without clutch rows scores 0 there.
+    Players outside both minute bands (more than 25; between 15 and 25) drop out, or stay with the category
+    ``others``; a player without clutch rows scores 0 there. ``team_games``: a column with the games of the player's
+    team, of which the games factor is then a share (else of a fixed number).
     """
-    p = players.withColumn("category", m.category(F.col("min"))).where(F.col("category").isNotNull())
+    p = players.withColumn("category", m.category(F.col("min")) if others is None else F.coalesce(m.category(F.col("min")), F.lit(others))).where(F.col("category").isNotNull())
     p = p.join(clutch.select("player_id", "clutch_score_pct", "clutch_usage_rate", "clutch_net_rating"), "player_id", "left").join(recent.select("player_id", "recent"), "player_id", "left")
-    factor = m.games_factor(F.col("gp"))
+    factor = m.games_factor(F.col("gp"), F.col(team_games).cast("double")) if team_games else m.games_factor(F.col("gp"))
     first = m.primary(F.col("pie"), F.col("usg"), F.col("net"), factor)
     second = m.secondary(F.col("ts"), F.col("tov"), F.col("min"))
     close = m.clutch(F.col("clutch_score_pct"), F.col("clutch_usage_rate"), F.col("clutch_net_rating"), factor)
@@ -59,12 +61,21 @@ def season_four(games: DataFrame) -> DataFrame:
     return a.select("team_id", "season", "net", m.four_factors(F.col("efg"), F.col("tov"), F.col("oreb"), F.col("dreb"), F.col("ft")).alias("four"))
 
 
-def head_to_head(games: DataFrame, metrics: list[str], before: Column | None = None, n: int = 3) -> DataFrame:
-    """Weighted (n..1, newest first) and plain mean differences of two teams' latest n meetings; divisors are fixed."""
+def head_to_head(games: DataFrame, metrics: list[str], before: Column | None = None, n: int = 3, seasons: tuple[str, str] | None = None) -> DataFrame:
+    """Weighted (n..1, newest first) and plain mean differences of two teams' latest n meetings; divisors are fixed.
+
+    ``seasons``: meetings of the first season count, and where there are fewer than n, the latest of the second top them up.
+    """
     if before is not None:
         games = games.where(F.col("game_date") < before)
-    pairs = self_pairs(games, "game_id", "team_id", ["game_date", *metrics])
-    last = latest_n(pairs, ["a_team_id", "b_team_id"], [F.desc("a_game_date"), F.desc("game_id")], n)
+    if seasons:
+        games = games.where(F.col("season").isin(*seasons))
+    pairs = self_pairs(games, "game_id", "team_id", ["game_date", "season", *metrics])
+    order = [F.desc("a_game_date"), F.desc("game_id")]
+    if seasons:
+        last = topped_up(*[pairs.where(F.col("a_season") == s) for s in seasons], ["a_team_id", "b_team_id"], order, n)
+    else:
+        last = latest_n(pairs, ["a_team_id", "b_team_id"], order, n)
     weight = F.lit(n + 1) - F.col("rn")
     aggs = [F.count("*").alias("meetings")]
     for c in metrics:

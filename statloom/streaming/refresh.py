@@ -9,30 +9,41 @@ from pyspark.sql.streaming import StreamingQuery
 from statloom.operators import mutate
 
 
-def refresh(stream: DataFrame, path: str, key: list[str], checkpoint: str, partition: str) -> StreamingQuery:
+def refresh(stream: DataFrame, path: str, key: list[str], checkpoint: str, partition: str, version: str | None = None) -> StreamingQuery:
     """Upsert each micro-batch into a partitioned table; only the partitions that the batch touches are rewritten.
 
-    A batch that is run again after a failure gives the same table. Of rows with one key in a batch an arbitrary one
-    stays; rows are expected to be final for their key.
+    Touched are the partitions of the batch's rows and those where their keys stood before, so a key that changes its
+    partition leaves no old row behind. Of rows with one key in a batch the one with the greatest ``version`` stays
+    (then the greatest of all columns, in order), so a batch that is run again after a failure gives the same table.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(key).persist()
-        touched = [r[0] for r in batch.select(partition).distinct().collect()]  # a batch touches few partitions
-        if not touched:
-            return
+        rank = F.struct(*([F.col(version)] if version else []), *[F.col(c) for c in batch.columns])
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), rank).alias("r")).select("r.*").persist()
         try:
-            old = spark.read.parquet(path).where(F.col(partition).isin(touched))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        new = mutate.upsert(old.select(*batch.columns), batch, key, check=False)
-        staged = f"{path.rstrip('/')}_staged"
-        new.write.mode("overwrite").parquet(staged)  # the table is read above, so it is not overwritten in the same job
-        mutate.overwrite(spark.read.schema(batch.schema).parquet(staged), path, partition)
-        batch.unpersist()
+            if last.isEmpty():
+                return
+            try:
+                table = spark.read.parquet(path)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                table = last.limit(0)
+            stood = table.join(last.select(*key), key, "left_semi").select(partition)
+            touched = [r[0] for r in last.select(partition).union(stood).distinct().collect()]  # a batch touches few partitions
+            here = F.col(partition).isin([x for x in touched if x is not None]) | (F.lit(None in touched) & F.col(partition).isNull())
+            new = mutate.upsert(table.where(here).select(*last.columns), last, key, check=False)
+            staged = f"{path.rstrip('/')}_staged_{number}"
+            new.write.mode("overwrite").parquet(staged)  # the table is read above, so it is not overwritten in the same job
+            done = spark.read.schema(last.schema).parquet(staged)
+            left = {r[0] for r in done.select(partition).distinct().collect()}
+            mutate.overwrite(done, path, partition)
+            for x in set(touched) - left:  # a partition that lost all its rows is not overwritten by none
+                mutate.drop_partition(spark, path, partition, x)
+            mutate.drop_folder(spark, staged)
+        finally:
+            last.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
