@@ -186,42 +186,37 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(at):
                 # next to the key: what follows is the same from row to row, and compresses
                 room = np.concatenate([n - np.arange(len(k)) for n, k in zip(s.column("n").to_pylist(), keys)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(room), *(s.column(c).take(at) for c in ("n", "sig", "label"))], names=["key", "room", "n", "sig", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(room), *(s.column(c).take(at) for c in ("n", "sig"))], names=["key", "room", "n", "sig"])
 
 
 def _open_tiles(percent: int):
-    """Rows of tiles that have a partner: another label, a size within the band, and room for the overlap.
+    """Rows of tiles that have a partner: another set, a size within the band, and room for the overlap.
 
     Most shingles have one set and drop out here. ``room`` is how many shingles of the set's order start at this
     one. Two sets that link meet in the tile of their first common shingle, where both have room for all of it.
     """
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k, n, room, label = (t.column(c).to_numpy() for c in ("key", "n", "room", "label"))
+        k, n, sig = (t.column(c).to_numpy() for c in ("key", "n", "sig"))
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (sig[1:] != sig[:-1])])  # copies in other tasks
+        t = t.filter(pa.array(once))
+        k, n, room = (t.column(c).to_numpy() for c in ("key", "n", "room"))
         wide = np.int64(1) << 40
         tile = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) * wide
         most = np.minimum(100 * n // percent, ((100 + percent) * room) // percent - n)
         lo, hi = np.searchsorted(tile + n, tile - (-percent * n // 100)), np.searchsorted(tile + n, tile + most, side="right")
-        # rows are sorted by key and size: the sizes that fit are a range, which must hold more than the row's own label
-        run = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (label[1:] != label[:-1])]))
-        end = np.repeat(np.append(run[1:], len(k)), np.diff(np.append(run, len(k))))
-        at = np.minimum(lo, len(k) - 1)
-        yield from t.filter(pa.array((lo < hi) & ((label[at] != label) | (end[at] < hi)))).to_batches()
+        # rows are sorted by key and size: the sizes that fit are a range, which must hold more than the row itself
+        own = (lo <= np.arange(len(k))) & (np.arange(len(k)) < hi)
+        yield from t.filter(pa.array(hi - lo > own)).to_batches()
 
     return work
 
 
-def _folded(raw: bytes) -> np.ndarray:
-    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64), 0)
-
-
 def _pairs(percent: int):
-    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places and bitmaps that leave room for the overlap."""
+    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places that leave room for the overlap."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, n, s, label, room = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label", "room"))
-        raw = t.column("bits").to_pylist()
-        bits = np.array([_folded(x) for x in raw])
         out = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -230,12 +225,6 @@ def _pairs(percent: int):
             total = n[i] + n[j]
             need = -(-percent * total // (100 + percent))
             on = np.minimum(room[i], room[j]) >= need
-            i, j, total, need = i[on], j[on], total[on], need[on]
-            on = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1) >= 2 * need
-            i, j, total, need = i[on], j[on], total[on], need[on]
-            wide = np.flatnonzero(np.maximum(n[i], n[j]) > BITS)  # where the folded bitmaps say little
-            on = np.ones(len(i), bool)
-            on[wide] = [total[x] - differing(np.frombuffer(raw[i[x]], np.uint64), np.frombuffer(raw[j[x]], np.uint64)) >= 2 * need[x] for x in wide]
             out.append(np.stack([s[i[on]], s[j[on]]], 1))
 
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -377,13 +366,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = components(edges)
         edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    rows = linkable.where(F.col("prefix").isNotNull()).select("sig", "n", "prefix")
-    rows = rows.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").select("n", "sig", F.coalesce("label", "sig").alias("label"), "prefix")
-    tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long, label long").repartition("key").sortWithinPartitions("key", "n")
-    mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long, label long"), "tiles")
-    tiles = mixed.join(bits.select("sig", "bits"), "sig").select("key", "room", "n", "sig", "label", "bits").repartition("key").sortWithinPartitions("key", "n")
-    pairs = tiles.mapInArrow(runs(_pairs(percent)), "a long, b long").distinct()
-    edges = edges.union(_confirm(known, classes, pairs, size, percent))
+    rows = linkable.where(F.col("prefix").isNotNull()).select("n", "sig", "prefix")
+    tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long").repartition("key").sortWithinPartitions("key", "n", "sig")
+    mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long"), "tiles")
+    tiles = mixed.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    tiles = tiles.repartition("key").sortWithinPartitions("key", "n")
+    pairs = stage(tiles.mapInArrow(runs(_pairs(percent)), "a long, b long").distinct(), "pairs")
+    edges = edges.union(_confirm(known, classes, _near(bits, pairs, percent), size, percent))
 
     part = components(edges)
     member = classes.join(part.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
