@@ -17,6 +17,8 @@ from .common import bytes_of, packed, stage, text_chunks
 #: Words of a window that may not repeat, of the shortest prefix that a group of suffixes shares, and of what lies on each side of it in a window.
 WINDOW, PREFIX = 13, 7
 SIDE = WINDOW - PREFIX
+#: Texts with a prefix up to which their suffixes form one group (about 100 bytes each).
+GROUP = 20_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -60,6 +62,14 @@ class Words:
         at = at[self.owner[: len(starts)] == self.owner[WINDOW - 1 :]]
         return keys, np.unique(at)
 
+    def windows(self) -> np.ndarray:
+        """Hashes of all windows of :data:`WINDOW` words."""
+        with np.errstate(over="ignore"):
+            keys = np.zeros(len(self.hashes) - WINDOW + 1, np.uint64)
+            for k in range(WINDOW):
+                keys = keys * np.uint64(0xD6E8FEB86659FD93) + self.hashes[k : k + len(keys)]
+            return (keys ^ (keys >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, id, tag, sure) of each anchor prefix and text.
@@ -147,31 +157,45 @@ def tree_repeats(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.n
     return found, least
 
 
-_OUT = "kind byte, route long, id long, tag int, pos int, mask short, sides binary"
-_OUT_ARROW = pa.schema([("kind", pa.int8()), ("route", pa.int64()), ("id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("mask", pa.int16()), ("sides", pa.binary())])
+_OUT = "kind byte, route long, id long, tag int, mask short, places binary, sides binary"
+_OUT_ARROW = pa.schema([("kind", pa.int8()), ("route", pa.int64()), ("id", pa.int64()), ("tag", pa.int32()), ("mask", pa.int16()), ("places", pa.binary()), ("sides", pa.binary())])
 
 
-def _rows(kind: int, route: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, mask: np.ndarray, sides: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(ids), 100_000):
-        s = slice(i, i + 100_000)
-        n = len(ids[s])
+def _rows(kind: int, route: np.ndarray, owner: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, mask: np.ndarray, sides: np.ndarray | None, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of suffixes; those of one text that are alike (of a whole window, only the window counts) become one row with all their places, so repetitive texts send few rows."""
+    with np.errstate(over="ignore"):
+        like = (route.view(np.uint64) ^ (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + mask.astype(np.uint64)
+        for k in range(0 if sides is None or whole else sides.shape[1]):
+            like = ((like ^ (like >> np.uint64(29))) + sides[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(like, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], like[order][1:] != like[order][:-1]])) if len(order) else order
+    ends = np.append(first[1:], len(order))
+    for i in range(0, len(first), 50_000):
+        a, e = first[i : i + 50_000], ends[i : i + 50_000]
+        s, n = order[a], len(a)
         blob = pa.nulls(n, pa.binary()) if sides is None else packed(sides[s].ravel(), np.arange(1, n + 1) * sides.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(route[s]), pa.array(ids[s]), pa.array(tags[s]), pa.array(pos[s].astype(np.int32)), pa.array(mask[s].astype(np.int16)), blob], schema=_OUT_ARROW)
+        places = packed(pos[order[a[0] : e[-1]]].astype(np.int32), e - a[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(route[s]), pa.array(ids[s]), pa.array(tags[s]), pa.array(mask[s].astype(np.int16)), places, blob], schema=_OUT_ARROW)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes at shared anchors; windows that repeat within the chunk are settled here, the rest goes on to its prefix's group."""
+    """Suffixes at shared anchors; windows that repeat within the chunk are settled here, the rest goes on to its prefix's group.
+
+    A prefix too frequent for one group is lengthened: there each window goes on by itself, to the group of its own words.
+    """
     for b in text_chunks(batches, 2):
         w = Words(bytes_of(b.column(2)))
         if not len(w.anchors):
             continue
-        lists = b.column(3)
-        wanted = np.asarray(lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]).view(np.uint64)
-        whose = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        with np.errstate(over="ignore"):  # a chance match only adds an anchor to look at
+        with np.errstate(over="ignore"):  # a chance match only adds an anchor to look at, or lengthens a prefix
             mine = w.keys[w.anchors] + (w.owner[w.anchors].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            asked = wanted + (whose.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        at = w.anchors[np.isin(mine, asked)]
+            asked = []
+            for lists in (b.column(3), b.column(4)):
+                wanted = np.asarray(lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]).view(np.uint64)
+                whose = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                asked.append(wanted + (whose.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        some = np.isin(mine, asked[0])
+        at, frequent = w.anchors[some], np.isin(mine[some], asked[1])
         if not len(at):
             continue
         own = w.owner[at]
@@ -185,9 +209,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mask |= np.where((at - o >= start) & (at - o + WINDOW <= end), 1 << o, 0).astype(np.uint8)
         ids, tags, key = b.column(0).to_numpy()[own], b.column(1).to_numpy()[own], w.keys[at].view(np.int64)
         found, least = tree_repeats(key, ids, left, right, mask)
-        hit, on = found > 0, least > 0
-        yield from _rows(0, ids[hit], ids[hit], tags[hit], (at - start)[hit], found[hit], None)
-        yield from _rows(1, key[on], ids[on], tags[on], (at - start)[on], least[on], np.concatenate([left, right], 1)[on])
+        hit, on, sides = found > 0, (least > 0) & ~frequent, np.concatenate([left, right], 1)
+        yield from _rows(0, ids[hit], own[hit], ids[hit], tags[hit], (at - start)[hit], found[hit], None)
+        yield from _rows(1, key[on], own[on], ids[on], tags[on], (at - start)[on], least[on], sides[on])
+        if frequent.any():
+            windows = w.windows()
+            for o in range(SIDE + 1):
+                on = frequent & ((least >> o) & 1 == 1)
+                yield from _rows(1, windows[at[on] - o].view(np.int64), own[on], ids[on], tags[on], (at - start)[on], np.full(on.sum(), 1 << o, np.uint8), sides[on], whole=True)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +229,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = np.frombuffer(b"".join(t.column("sides").to_pylist()), np.uint32).reshape(-1, 2 * SIDE)
         found, _ = tree_repeats(key, ids, sides[:, :SIDE], sides[:, SIDE:], t.column("mask").to_numpy().astype(np.uint8))
         hit = found > 0
-        yield from _rows(0, ids[hit], ids[hit], t.column("tag").to_numpy()[hit], t.column("pos").to_numpy()[hit], found[hit], None)
+        t, n = t.filter(pa.array(hit)), int(hit.sum())
+        out = [pa.array(np.zeros(n, np.int8)), t.column("id"), t.column("id"), t.column("tag"), pa.array(found[hit].astype(np.int16)), t.column("places"), pa.nulls(n, pa.binary())]
+        yield from pa.table(out, schema=_OUT_ARROW).to_batches()
 
     for b in batches:
         kind = b.column("kind").to_numpy()
@@ -251,10 +282,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif found:
                 step = np.zeros(n + 1, np.int64)
                 for x in found:
+                    places = np.frombuffer(x["places"], np.int32)
                     for o in range(SIDE + 1):
                         if x["mask"] >> o & 1:
-                            step[x["pos"] - o] += 1
-                            step[x["pos"] - o + WINDOW] -= 1
+                            np.add.at(step, places - o, 1)
+                            np.add.at(step, places - o + WINDOW, -1)
                 gone = np.cumsum(step)[:n] > 0
                 removed.append(int(gone.sum()))
                 t = _cut(t, gone)
@@ -264,7 +296,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), b.column(4)], names=names)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
     """Cut out every word in a window of 13 words that also starts in a document with a smaller id.
 
     1. Anchors: of each window the 7-word prefix with the least hash. Their hashes are shuffled with the ids; a
@@ -272,7 +304,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        once, and what a task itself sees twice is sent on once, so frequent passages and copies make no hot key.
     2. Exact copies: only the least id of equal texts goes on; the others (of 13 words or more) go whole.
     3. Suffix trees: each suffix at a shared anchor carries the words around it as 32-bit hashes, beneath a 64-bit
-       hash of its prefix. Suffixes are grouped by prefix, and a task's own repeats are settled before the shuffle,
+       hash of its prefix. Suffixes are grouped by prefix; a prefix that more than ``group`` texts hold is lengthened to
+       whole windows, so a group stays small enough for a task however frequent its words are. Alike suffixes of one
+       text are one row, and a task's own repeats are settled before the shuffle,
        so that of a window only those of a task's least document reach a group. Sorted suffixes and their common prefixes give the
        nodes of each tree; the leaves below a node that lies a window deep are its occurrences (:func:`tree_repeats`).
     4. The marks go back to the documents by id.
@@ -293,14 +327,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = known.select("id", "tag", F.xxhash64("text").alias("print"), F.octet_length("text").alias("bytes"))
     first = stage(prints.groupBy("print", "bytes").agg(F.min("id").alias("first")), "originals")
     origin = stage(prints.join(first, ["print", "bytes"]).select("id", "tag", "first").distinct(), "copies")
-    wanted = repeated.join(origin, ["id", "tag"]).groupBy(F.col("first").alias("id"), "tag").agg(F.collect_set("hash").alias("anchors"))
-    todo = stage(origin.groupBy("id", "tag").agg(F.min("first").alias("first")).where("first <> id").select("id", "tag", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("anchors")).unionByName(wanted.select("id", "tag", F.lit(False).alias("copy"), "anchors")), "todo")
+    frequent = stage(repeated.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hash", F.lit(True).alias("frequent")), "frequent")
+    listed = repeated.join(frequent, "hash", "left").join(origin, ["id", "tag"])
+    wanted = listed.groupBy(F.col("first").alias("id"), "tag").agg(F.collect_set("hash").alias("anchors"), F.collect_set(F.when(F.col("frequent"), F.col("hash"))).alias("frequent"))
+    none = F.lit(None).cast("array<long>")
+    todo = stage(origin.groupBy("id", "tag").agg(F.min("first").alias("first")).where("first <> id").select("id", "tag", F.lit(True).alias("copy"), none.alias("anchors"), none.alias("frequent")).unionByName(wanted.select("id", "tag", F.lit(False).alias("copy"), "anchors", "frequent")), "todo")
 
-    found = known.join(todo.where("not copy").select("id", "tag", "anchors"), ["id", "tag"]).select("id", "tag", "text", "anchors").mapInArrow(_suffixes, _OUT)
+    found = known.join(todo.where("not copy").select("id", "tag", "anchors", "frequent"), ["id", "tag"]).select("id", "tag", "text", "anchors", "frequent").mapInArrow(_suffixes, _OUT)
     marks = found.repartition("route").sortWithinPartitions("route").mapInArrow(_trees, _OUT)
     # written, so that the shuffles behind it can go before the texts are shuffled once more
-    marks = stage(marks.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "mask")).alias("marks")), "marks")
-    notes = todo.where("copy").select("id", "tag", "copy", F.lit(None).cast("array<struct<pos:int,mask:smallint>>").alias("marks")).unionByName(marks.select("id", "tag", F.lit(False).alias("copy"), "marks"))
+    marks = stage(marks.groupBy("id", "tag").agg(F.collect_list(F.struct("places", "mask")).alias("marks")), "marks")
+    notes = todo.where("copy").select("id", "tag", "copy", F.lit(None).cast("array<struct<places:binary,mask:smallint>>").alias("marks")).unionByName(marks.select("id", "tag", F.lit(False).alias("copy"), "marks"))
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep])
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest")) if keep else d.withColumn("rest", rest)
     done = whole.join(notes, ["id", "tag"], "left").select("id", "text", "copy", "marks", "rest")

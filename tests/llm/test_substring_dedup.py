@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from statloom.llm.substring_dedup import substring_dedup
@@ -5,10 +7,10 @@ from statloom.llm.substring_dedup import substring_dedup
 from .util import corpus, cut, frame
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, group", [(3, 20_000), (4, 3), (5, 0)])
+def test_equals_brute_force(spark, seed, group):
     docs = list(enumerate(corpus(seed)))
-    got = sorted((r.doc_id, r.n_words, r.n_removed, " ".join(r.text.encode().decode().split(" "))) for r in substring_dedup(frame(spark, docs, 7)).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_removed, " ".join(r.text.encode().decode().split(" "))) for r in substring_dedup(frame(spark, docs, 7), group=group).collect())
     want = sorted(cut(docs))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     from .util import words
@@ -39,3 +41,20 @@ def test_copies_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup(frame(spark, docs, 3)).collect())
     assert got == [(-1, 14, 0), (2, 2, 0), (4, 14, 0), (4, 14, 0), (8, 2, 0), (9, 14, 14)]
     assert substring_dedup(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("group", [20_000, 50])
+def test_a_passage_in_very_many_documents(spark, group):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    docs = []
+    for k in range(3000):
+        own = [f"{rng.choice('xyz')}{rng.randrange(50_000)}" for _ in range(rng.randrange(5, 15))]
+        at = rng.randrange(len(own))
+        w = own[:at] + passage[: rng.choice([12, 13, 20, 30])] + own[at:]
+        docs.append((k, " ".join(w * rng.choice([1, 1, 1, 3]))))
+    docs.append((5000, "u v " * 20_000 + " ".join(passage)))  # the same few windows over and over
+    docs.append((5001, "u v " * 15_000))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(frame(spark, docs, 9), group=group).collect()}
+    assert got == {i: (n, gone) for i, n, gone, _ in cut(docs)}
+    assert got[5001] == (30_000, 30_000)
