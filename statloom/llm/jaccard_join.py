@@ -330,8 +330,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when their sets of ``size``-word shingles have 100 * overlap >= ``percent`` * union. No link
     between different sets is lost; equal sets are one class, whose copies are never paired.
 
-    1. Shingles that a task meets in three documents or more are counted; the most frequent of all tasks (at most
-       :data:`FREQUENT`, a bounded list) order prefixes: rare shingles first. The order decides cost, not results.
+    1. Shingles that a task meets in three documents or more are counted; the most frequent of all tasks (all above a count, which is set so that they are at most :data:`FREQUENT`) order prefixes: rare shingles first. The order decides cost, not results.
     2. Each document gets its set's size and signature, and each set its prefix: two sets that link share a
        shingle among their first n - ceil(percent * n / 100) + 1.
     3. Likely partners first: sets with a least hash in common are tried within each task, then, in a few turns, one set
@@ -349,7 +348,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
     known = d.where(F.col("id").isNotNull())
 
-    top = known.select("text").mapInArrow(_frequent(size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    counts = stage(known.select("text").mapInArrow(_frequent(size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    level, room = F.floor(4 * F.log2("n")), FREQUENT
+    least = 256
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundred levels at most
+        if r["count"] > room:
+            break
+        least, room = r["level"], room - r["count"]
+    top = counts.where(level >= least).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     prep = stage(d.mapInArrow(_prepare(size, percent, keys[order], top["n"].to_numpy(np.int64)[order]), _PREP), "sets")
