@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -18,9 +19,16 @@ BLOCK_DOCS, BLOCK_BYTES = 8192, 24 << 20
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse.
+
+    On a cluster a warehouse in a machine's own file system is no shared folder, and an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (d or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/") + "/statloom"
+    if not d:
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", d):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return d.rstrip("/") + "/statloom"
 
 
 def stage(df: DataFrame, name: str, by: str | None = None, **options: object) -> DataFrame:
@@ -36,11 +44,19 @@ def stage(df: DataFrame, name: str, by: str | None = None, **options: object) ->
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession
-    for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for d in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(d)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(result: DataFrame, name: str, *tables: DataFrame) -> DataFrame:
+    """Write a result of small rows and delete the staged tables that it was made from."""
+    out = stage(result, name)
+    for t in tables:
+        drop_staged(t)
+    return out
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of the column ``text`` (or one longer row)."""
     for b in batches:
@@ -252,9 +268,12 @@ def document_sums(partials: DataFrame, k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- connected components
 
+#: Nodes of the forest that a task holds.
+FOREST = 2_000_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a task's edges by a spanning forest of stars (node, smallest node it reaches here)."""
+    """Replace a task's edges by spanning forests of stars (node, smallest node it reaches here), each over :data:`FOREST` nodes at most."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -265,15 +284,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        rows = [(x, find(x)) for x in list(parent) if find(x) != x]
+        for i in range(0, len(rows), 50000):
+            u, v = zip(*rows[i : i + 50000])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        parent.clear()
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             a, z = find(u), find(v)
             if a != z:
                 parent[max(a, z)] = min(a, z)
-    rows = [(x, find(x)) for x in list(parent) if find(x) != x]
-    for i in range(0, len(rows), 50000):
-        u, v = zip(*rows[i : i + 50000])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if len(parent) > FOREST:
+            yield from stars()
+    yield from stars()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, drop_staged, packed, runs, stage, text_chunks
+from .common import bytes_of, components, drop_staged, packed, release, runs, stage, text_chunks
 
 #: Least bits of a bitmap signature; a larger set has the next power of two.
 BITS = 1024
@@ -385,4 +385,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = member.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stage(member.join(least, "component").select("sig", "component_id"), "components")
     out = prep.select("id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return release(out, "classes", prep, counts, classes, bits, mins, mixed, pairs, named)

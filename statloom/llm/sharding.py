@@ -58,16 +58,18 @@ def unpermute(places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 
 def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """Number the rows from 0 in the order of the given columns, without a single-task sort.
+    """(row, row_number): the rows, each as a struct, numbered from 0 in the order of the given columns, without a single-task sort.
 
     A range shuffle sorts the rows; each partition numbers its own, and the partitions' counts (one small row for
     each partition) give the offsets. The sorted rows are written once, because the bounds of a range shuffle may
     differ when it is computed again. Equal keys are dealt out by their first place, so a hot key splits.
     """
-    sorted_ = df.withColumn("_at", F.monotonically_increasing_id())
-    keys = [*order, "_at"]
+    # the caller's columns travel inside one, so that their names meet no others
+    own = F.struct(*[F.col(c) for c in df.columns]).alias("row") if df.columns else F.struct(F.lit(0).alias("_")).alias("row")
+    keyed = df.select(own, *[F.col(c).alias(f"key_{i}") for i, c in enumerate(order)]).withColumn("at", F.monotonically_increasing_id())
+    keys = [*(f"key_{i}" for i in range(len(order))), "at"]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = sorted_.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_at").withColumn("_row", F.monotonically_increasing_id())
+    sorted_ = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("_row"))
     held = stage(sorted_, "rows")
     part = F.shiftright("_row", 33)
     counts = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect()}  # one row a partition
@@ -76,11 +78,11 @@ def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
         starts.append(at)
         at += counts.get(p, 0)
     offsets = F.array(*[F.lit(x) for x in starts]) if starts else F.array(F.lit(0))
-    return held.withColumn("row_number", F.element_at(offsets.cast("array<bigint>"), part.cast("int") + 1) + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row")
+    return held.select("row", "_row").withColumn("row_number", F.element_at(offsets.cast("array<bigint>"), part.cast("int") + 1) + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row")
 
 
 def shard_rows(df: DataFrame, shards: int, order: list[str], seed: int = 0) -> DataFrame:
-    """Add row_number, shard (int) and slot (long) to every row.
+    """Add row_number, shard (int) and slot (long) to every row; columns of these names that it has are replaced.
 
     Rows are numbered in the order of the columns ``order`` (nulls first; rows equal in them are interchangeable),
     the Feistel network permutes the numbers, and the place p goes to shard ``p % shards``, slot ``p // shards``:
@@ -88,6 +90,7 @@ def shard_rows(df: DataFrame, shards: int, order: list[str], seed: int = 0) -> D
     the seed; :func:`unpermute` finds the row of a shard's slot. Groups of equal rows are not kept together. Carry
     only the columns you need: those given are shuffled once. An empty table gives an empty result.
     """
+    keep = [c for c in df.columns if c not in ("row_number", "shard", "slot")]
     numbered = row_numbers(df, order)
     n = numbered.count()
 
@@ -96,7 +99,8 @@ def shard_rows(df: DataFrame, shards: int, order: list[str], seed: int = 0) -> D
             p = permute(b.column("row_number").to_numpy(), n, seed)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], names=[*b.schema.names, "shard", "slot"])
 
-    return numbered.mapInArrow(place, numbered.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema)
+    out = numbered.mapInArrow(place, numbered.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "row_number", "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

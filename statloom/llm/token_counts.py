@@ -18,6 +18,8 @@ from .common import PARTIAL_SCHEMA, block_index, document_sums, partial_sums
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Salts for a pre-token, so that the blocks of a very common one are dealt to several tasks.
 SALTS = 8
+#: Pre-tokens whose counts a task remembers; beyond, it starts anew.
+KNOWN = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -65,6 +67,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         def values(b: pa.RecordBatch) -> np.ndarray:
             words = b.column("token").to_pylist()
+            if len(known) > KNOWN:
+                known.clear()
             if new := list({w for w in words if w is not None and w not in known}):
                 for i in range(0, len(new), 20000):
                     part = new[i : i + 20000]
