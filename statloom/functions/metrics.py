@@ -88,6 +88,20 @@ def team_score(net: Column, four: Column) -> Column:
     return 0.75 * net + 0.25 * four
 
 
+def availability(gp: Column, whole: Column | float, last: Column, of: int = 10) -> Column:
+    """How far a player can be counted on: games of the season (scaled) and of the team's last ``of``."""
+    return 0.6 * games_factor(gp, whole) + 0.4 * last / of
+
+
+def minutes_consistency(season: Column, recent: Column, deviation: Column) -> Column:
+    """Season minutes, and how steady the recent ones are."""
+    return 0.6 * season + 0.4 * (1 - ratio(deviation, recent))
+
+
+def win_share_score(per_48: Column, offence: Column, defence: Column) -> Column:
+    return 0.6 * per_48 + 0.2 * offence + 0.2 * defence
+
+
 def category(minutes: Column, star: float = 25.0, rotation: float = 15.0) -> Column:
     """'Star' above ``star`` minutes, 'Rotation' in the open band below it, else null: both bounds lie outside."""
     return F.when(minutes > star, "Star").when((minutes > rotation) & (minutes < star), "Rotation")

@@ -377,6 +377,16 @@ def contribution_at_date(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(scores.contributions(players, _clutch(spark, d), recent, team_games="team_gp", others="Other"))
 
 
+@_register
+def availability(spark: SparkSession, d: str) -> DataFrame:
+    """Availability and steadiness of minutes, over a season of at most 82 games and a player's last ten."""
+    g = games.player_games(spark, d).select("player_id", "game_id", "game_date", "min")
+    ranked = rel.numbered(g, ["player_id"], [F.desc("game_date"), F.desc("game_id")])
+    ten = F.when(F.col("rn") <= 10, F.col("min"))
+    a = ranked.groupBy("player_id").agg(F.count("*").alias("gp"), F.avg("min").alias("season"), F.count(ten).alias("last"), F.avg(ten).alias("recent"), F.stddev_samp(ten).alias("deviation"))
+    return a.select("player_id", _r(m.availability(F.col("gp"), 82.0, F.col("last")), "availability"), _r(m.minutes_consistency(F.col("season"), F.col("recent"), F.col("deviation")), "consistency"))
+
+
 @_register
 def estimated_ratings(spark: SparkSession, d: str) -> DataFrame:
     p = _roster(spark, d)
