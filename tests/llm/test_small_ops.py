@@ -99,7 +99,7 @@ def test_cuts_are_optimal(steps):
 
 def test_packing_round_trip(spark):
     library = Tokenizer.from_file(WORDS)
-    docs = list(enumerate(corpus(8, 60))) + [(3, "again."), (3, "again."), (900, "don't I'LL 3.5 %%% e\u0301t\u0301 Ab!!\x1cz \u1100\u1161 x\u00a0y"), (901, "nostop " * 9000)]
+    docs = list(enumerate(corpus(8, 60))) + [(3, "again."), (3, "again."), (None, "no id"), (900, "don't I'LL 3.5 %%% e\u0301t\u0301 Ab!!\x1cz \u1100\u1161 x\u00a0y"), (901, "nostop " * 9000)]
     rows = pack_documents(frame(spark, docs, 3), WORDS).collect()
     want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in docs)
     by = {}
