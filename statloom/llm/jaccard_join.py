@@ -15,6 +15,8 @@ from .common import bytes_of, components, drop_staged, packed, release, runs, st
 
 #: Least bits of a bitmap signature; a larger set has the next power of two.
 BITS = 1024
+#: Words of 64 bits of the folded bitmap that tile rows carry; random sets of up to some 500 shingles already differ too much in it.
+FOLD = 4
 #: Shingles known to be frequent, kept by every task to order prefixes (at most so many, 16 bytes each).
 FREQUENT = 1 << 20
 #: Shingles with the least hashes by which likely partners are tried first, and sets of such a shingle that all others are tried against.
@@ -73,6 +75,11 @@ def bitmaps(keys: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return np.split(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), stop[:-1] // 64) if len(ends) else []
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """A bitmap of :data:`FOLD` words of 64 bits, which differs from another folded one in no more bits than the whole ones do."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, FOLD), 0)
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two bitmaps differ; the wider one is folded to the width of the other."""
     if len(x) < len(y):
@@ -105,12 +112,12 @@ def _frequent(size: int):
     return run
 
 
-_PREP = "id long, tag int, n long, sig long, link long, mins array<long>, prefix binary, bits binary"
+_PREP = "id long, tag int, n long, sig long, link long, mins array<long>, prefix binary, bits binary, fold binary"
 
 
 def _prepare(size: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
     """Per document: set size, signature of the set, and, once a set and chunk: prefix, bitmap, local links and least hashes."""
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("link", pa.int64()), ("mins", pa.list_(pa.int64())), ("prefix", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("sig", pa.int64()), ("link", pa.int64()), ("mins", pa.list_(pa.int64())), ("prefix", pa.binary()), ("bits", pa.binary()), ("fold", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 2, 6 << 20):
@@ -137,7 +144,7 @@ def _prepare(size: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
             root = _local(sets, bits, low, percent)
             lead = first & (root == np.arange(len(sets)))
             some = sizes > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(sigs, mask=~some), pa.array(sigs[root], mask=~(first & ~lead)), pa.array([x.view(np.int64) if k else None for x, k in zip(low, lead)], pa.list_(pa.int64())), pa.Array.from_buffers(pa.binary(), len(sets), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), *prefix.buffers()[1:]]), pa.array([x.tobytes() if k else None for x, k in zip(bits, first)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(sigs, mask=~some), pa.array(sigs[root], mask=~(first & ~lead)), pa.array([x.view(np.int64) if k else None for x, k in zip(low, lead)], pa.list_(pa.int64())), pa.Array.from_buffers(pa.binary(), len(sets), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), *prefix.buffers()[1:]]), pa.array([x.tobytes() if k else None for x, k in zip(bits, first)], pa.binary()), pa.array([_folded(x).tobytes() if k else None for x, k in zip(bits, first)], pa.binary())], schema=schema)
 
     return run
 
@@ -213,10 +220,11 @@ def _open_tiles(percent: int):
 
 
 def _pairs(percent: int):
-    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places that leave room for the overlap."""
+    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places and folded bitmaps that leave room for the overlap."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, n, s, label, room = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label", "room"))
+        bits = np.frombuffer(b"".join(t.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD)
         out = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -225,6 +233,8 @@ def _pairs(percent: int):
             total = n[i] + n[j]
             need = -(-percent * total // (100 + percent))
             on = np.minimum(room[i], room[j]) >= need
+            i, j, total, need = i[on], j[on], total[on], need[on]
+            on = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1) >= 2 * need
             out.append(np.stack([s[i[on]], s[j[on]]], 1))
 
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -362,7 +372,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     linkable = prep.where(F.col("id").isNotNull() & F.col("sig").isNotNull())
     classes = stage(linkable.groupBy("sig").agg(F.min(F.struct("id", "tag")).alias("m")).select("sig", "m.id", "m.tag"), "classes")
-    bits = stage(linkable.where(F.col("bits").isNotNull()).select("sig", "n", "bits").dropDuplicates(["sig"]), "bitmaps")
+    bits = stage(linkable.where(F.col("bits").isNotNull()).select("sig", "n", "bits", "fold").dropDuplicates(["sig"]), "bitmaps")
     local = linkable.where(F.col("link").isNotNull()).select(F.col("sig").alias("u"), F.col("link").alias("v"))
 
     mins = stage(linkable.where(F.col("mins").isNotNull()).select("sig", "n", F.explode("mins").alias("key")).distinct(), "mins")
@@ -376,7 +386,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long").repartition("key").sortWithinPartitions("key", "n", "sig")
     mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long"), "tiles")
     tiles = mixed.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    tiles = tiles.repartition("key").sortWithinPartitions("key", "n")
+    tiles = tiles.join(bits.select("sig", "fold"), "sig").repartition("key").sortWithinPartitions("key", "n")
     pairs = stage(tiles.mapInArrow(runs(_pairs(percent)), "a long, b long").distinct(), "pairs")
     edges = edges.union(_confirm(known, classes, _near(bits, pairs, percent), size, percent))
 
