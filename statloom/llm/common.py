@@ -31,13 +31,18 @@ def staging_dir(spark: SparkSession) -> str:
     return d.rstrip("/") + "/statloom"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files that no plan needs any more; it looks when the driver's JVM collects garbage."""
+    spark._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str, by: str | None = None, **options: object) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder (a folder for each value of ``by``) and read it back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd").options(**options)
     (writer.partitionBy(by) if by else writer).parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that the written table stands for
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
