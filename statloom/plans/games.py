@@ -22,9 +22,15 @@ def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
+def _hundredths(x: Column) -> Column:
+    """A value above 0 with two decimals in whole hundredths; rounding by ``floor`` stays in plain arithmetic, where ``round`` makes a decimal of every value."""
+    return F.floor(x * 100 + 0.5)
+
+
 def _box() -> list[Column]:
-    pts = F.sum(_cents("l_extendedprice") * F.round((1 - F.col("l_discount")) * 100).cast("long")) / F.lit(1e7)
-    gross = F.sum(_cents("l_extendedprice")) / F.lit(1e5)
+    price = _hundredths(F.col("l_extendedprice"))
+    pts = F.sum(price * _hundredths(1 - F.col("l_discount"))) / F.lit(1e7)
+    gross = F.sum(price) / F.lit(1e5)
     return [pts.alias("pts"), (pts - 0.95 * gross).alias("pm"), F.sum("l_quantity").alias("min"), F.count("*").cast("double").alias("fga"), _count(F.col("l_linestatus") == "F").alias("fta"), _count(F.col("l_returnflag") == "R").alias("tov"), _count(F.col("l_returnflag") == "A").alias("oreb")]
 
 
