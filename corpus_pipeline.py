@@ -13,6 +13,7 @@ from statloom.llm.packing import pack_documents
 from statloom.llm.quality_rules import quality_rules, without_lines
 from statloom.llm.substring_dedup import substring_dedup
 
+#: The columns of ``documents``, which all stages but the last return; any others are dropped.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
