@@ -89,6 +89,44 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a known share of damage, by a checksum of id and turn."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind, role, text = F.crc32(name.cast("binary")) % 20, F.coalesce("role", space), F.coalesce("text", space)
+    changed = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), kind.alias("kind"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return changed.where("kind <> 0").select("conv_id", "turn", "role", "text", F.explode(times).alias("copy")).drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import repair_conversations, repair_digests
+
+    rows = _table(spark, sf_dir, "conversations")
+    edits, facts = repair_conversations(damaged(rows))
+    ids, digests = rows.select("conv_id").distinct(), repair_digests(edits)
+    out = ids.join(facts.withColumnRenamed("conv_id", "f"), F.col("conv_id").eqNullSafe(F.col("f")), "left").join(digests.withColumnRenamed("conv_id", "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import bpe_decode, bpe_encode
+
+    ranks, pattern = _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -147,6 +185,61 @@ every AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM every ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, [CAST('0x' || substr(h, i, 8) AS BIGINT) FOR i IN [1, 9, 17, 25]] AS g,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain
+  FROM d),
+f AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS z, plain OR g[3] % 100 >= 100 AS p FROM e),
+x AS (
+  SELECT doc_id, n, t, CASE WHEN p THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:z], '') AS mid, array_to_string(w[z + 1:], '') AS suf
+  FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x""",
+    "op12_turn_repair": r"""
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(name, '')]),
+                            lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind
+  FROM k),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER o AS i, left(role, 1) AS ini, left(lag(role) OVER o, 1) AS prev,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS (SELECT conv_id, turn, role, text, i, ini, prev, CASE WHEN ink = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s0, {'c': 1000000000, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s1, {'c': 1000000000, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s2, {'c': 1000000000, 'a': '', 'r': CAST([] AS VARCHAR[])} AS s3
+  FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+  SELECT conv_id, i, {'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r},
+         list_min([{'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r}, {'c': CASE WHEN ini = 's' THEN s0.c + stay ELSE 1000000000 END, 'a': s0.a || 'K', 'r': list_append(s0.r, line)}]),
+         list_min([{'c': s2.c + 3, 'a': s2.a || 'D', 'r': s2.r}] || [{'c': x.c + CASE WHEN ini = 'u' THEN stay ELSE 2 + stay END, 'a': x.a || CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END, 'r': list_append(x.r, CASE WHEN ini = 'u' THEN line ELSE 'user:' || text END)} FOR x IN [s0, s1, s3]]),
+         list_min([{'c': s3.c + 3, 'a': s3.a || 'D', 'r': s3.r}, {'c': s2.c + CASE WHEN ini = 'a' THEN stay ELSE 2 + stay END, 'a': s2.a || CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END, 'r': list_append(s2.r, CASE WHEN ini = 'a' THEN line ELSE 'assistant:' || text END)}])
+  FROM (
+    SELECT conv_id, i, ini, text, line, stay, s0, s1, s2, list_min([s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': list_append(s2.r, 'assistant:')}]) AS s3
+    FROM (
+      SELECT w.conv_id, r.i, ini, text, role || ':' || text AS line, CASE fault WHEN 1 THEN 1000000000 WHEN 2 THEN 1000000000 WHEN 3 THEN 1 ELSE 0 END AS stay, s0, s1, s3,
+             list_min([s2] || [{'c': x.c + 2, 'a': x.a || 'I', 'r': list_append(x.r, 'user:')} FOR x IN [s0, s1, s3]]) AS s2
+      FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+ended AS (
+  SELECT conv_id, list_min([s0, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || ['user:', 'assistant:']}, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': list_append(s2.r, 'assistant:')}, s3]) AS e
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM walk) WHERE last = 1),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op3_url_filters": rf"""
 WITH u AS (
   SELECT page_id, row_number() OVER () AS r,

@@ -87,3 +87,21 @@ def test_op7(spark, texts):
     for r in rows:
         n = len(library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 512)
+
+
+def test_op13(spark, texts):
+    import base64
+    import hashlib
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = queries.op13_byte_bpe(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        ids = library.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
