@@ -22,8 +22,8 @@ from .common import text_chunks
 LEAF, LEAF_BYTES, LEAF_IDS = 4096, 48, 4096
 #: Code points that the pattern may look at from the start of a match (the longest contraction).
 REACH = 3
-#: Matches whose ids a worker remembers, after which it starts anew; longer ones are not kept.
-KNOWN, LONG = 1_000_000, 64
+#: Texts of a generation whose ids a worker remembers, and their greatest length.
+KNOWN, LONG = 250_000, 64
 #: Bytes of an id; rows of ids are kept as unsigned 32-bit numbers.
 ID = 4
 
@@ -57,16 +57,19 @@ def _middle(n: int) -> int:
 
 
 class _Known(dict):
-    """The ids of the texts so far."""
+    """The ids of the texts so far, in two generations: what a full one holds is kept only if it is met again in the next."""
 
     def __init__(self, work: Callable[[str], bytes]):
         super().__init__()
-        self.work = work
+        self.work, self.old = work, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.work(text)
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.work(text)
         if len(text) <= LONG:
             if len(self) >= KNOWN:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -87,7 +90,7 @@ class Bpe:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = compiled(pattern)
         self.known = _Known(lambda word: self.match(word.encode()))
-        self.spaced = _Known(lambda rest: b"".join(map(self.known.__getitem__, self.pattern.findall(" " + rest))))
+        self.spaced = _Known(lambda rest: self.match(b" " + rest.encode()) if rest.isalpha() else b"".join(map(self.known.__getitem__, self.pattern.findall(" " + rest))))
 
     # ------------------------------------------------------------ one match
 
@@ -236,7 +239,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     """Per row the id and ``ids`` array<int>, what the rank file ``vocabulary`` (present on every executor) makes of the whole text.
 
     Each match of ``pattern`` is encoded on its own, without special tokens; its matches must cover any text, look at one
-    character past their end at most or at :data:`REACH` from their start, and hold no space after other than white space. A text is cut into halves down to
+    character past their end at most or at :data:`REACH` from their start, hold no space after other than white space, and
+    take a space with the letters after it. A text is cut into halves down to
     :data:`LEAF` code points and its parts are joined up the tree; a match is cut and joined likewise. A node keeps 4
     bytes an id and 8 a match, so a task holds about 8 MB of texts (or one longer text) and small multiples of them.
     No shuffle: a lost task is done again by itself.
