@@ -15,6 +15,11 @@ def known(x: Column, value: float = 0.0) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(value))
 
 
+def settled(x: Column) -> Column:
+    """Six decimals, halves and what lies a hair below them upwards: ratings are often exact halves of a millionth, which no two engines round alike."""
+    return F.floor(x * 1e6 + 0.5001) / 1e6
+
+
 def attempts(fga: Column, fta: Column) -> Column:
     return fga + 0.44 * fta
 
@@ -102,6 +107,21 @@ def win_share_score(per_48: Column, offence: Column, defence: Column) -> Column:
     return 0.6 * per_48 + 0.2 * offence + 0.2 * defence
 
 
+def clutch_score(net: Column, points: Column, efg: Column, added: Column) -> Column:
+    """Close games: net rating, points a game, effective shooting and win probability added; 0 where a part is missing."""
+    return known(0.4 * net + 0.3 * points + 0.2 * efg + 0.1 * added)
+
+
+def final_score(wins: Column, close: Column, available: Column) -> Column:
+    """The final ranking's score."""
+    return 0.5 * wins + 0.3 * close + 0.2 * available
+
+
+def decision(team: Column, players: Column) -> Column:
+    """A team's own rating and that of its players."""
+    return 0.7 * team + 0.3 * players
+
+
 def category(minutes: Column, star: float = 25.0, rotation: float = 15.0) -> Column:
     """'Star' above ``star`` minutes, 'Rotation' in the open band below it, else null: both bounds lie outside."""
     return F.when(minutes > star, "Star").when((minutes > rotation) & (minutes < star), "Rotation")

@@ -61,6 +61,12 @@ def missing_keys(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     return df.select(on).distinct().join(dim, on, "left_anti")
 
 
+def listed(df: DataFrame, ids: DataFrame, on: str, position: str) -> DataFrame:
+    """The rows whose key is in a list, with its ``position`` there: sorting by it gives the list's order. A key that is listed twice counts once, at its first place."""
+    first = ids.groupBy(on).agg(F.min(position).alias(position))
+    return df.join(first, on)
+
+
 def shared_columns(a: DataFrame, b: DataFrame, except_for: tuple[str, ...] = ()) -> list[str]:
     """Columns of b that a has too (merge hygiene), in b's order."""
     return [c for c in b.columns if c in a.columns and c not in except_for]

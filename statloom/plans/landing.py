@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -25,8 +26,15 @@ def _register(f):
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that the cluster names; the warehouse where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the shared folder that the cluster names; the warehouse where none is named.
+
+    On a cluster a warehouse in a machine's own file system is no shared folder, and an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", shared):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/landing/{name}-{uuid.uuid4().hex}"
 
 
@@ -68,7 +76,7 @@ def sink_by_team(spark: SparkSession, d: str) -> DataFrame:
     path, c = _place(spark, "teams"), _customers(spark, d)
     mutate.overwrite(c, path, "c_nationkey")
     mutate.overwrite(c.where("c_nationkey = 3").withColumn("c_name", F.lower("c_name")), path, "c_nationkey")
-    return spark.read.schema(c.schema).parquet(path).where("c_nationkey < 6")
+    return spark.read.schema(c.schema).parquet(path)
 
 
 @_register
@@ -84,9 +92,11 @@ def table_ddl(spark: SparkSession, d: str) -> DataFrame:
     name, t = f"ddl_{uuid.uuid4().hex}", TABLES["teams"]
     spark.sql(f"CREATE TABLE {name} ({t.ddl}) USING parquet")
     table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("TEAM_ID"), F.col("n_name").alias("TEAM_NAME"), F.upper(F.left("n_name", F.lit(3))).alias("TEAM_ABBREVIATION")).write.insertInto(name)
-    rows = [(c, spark.table(name).where(F.col(c).isNotNull()).count()) for c in spark.table(name).columns]
+    names, path = spark.table(name).columns, _place(spark, "ddl")
+    counts = spark.table(name).agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column_name", "n_rows")
+    counts.write.parquet(path)
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame([(c, n, spark.catalog.tableExists(name)) for c, n in rows], "column_name string, n_rows long, still_there boolean")
+    return spark.read.schema(counts.schema).parquet(path).withColumn("still_there", F.lit(spark.catalog.tableExists(name)))
 
 
 # ------------------------------------------------------------------ landed files
@@ -101,21 +111,20 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @_register
 def tab_delimited(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark, "tabs")
-    n = table(spark, d, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit("   ")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("string")).otherwise("")).alias("value"))
-    spark.createDataFrame([("Key\tName  \tRegion",)], "value string").unionByName(n).coalesce(1).write.text(path)  # a landed file of a few lines
+    """Files with padded names and values, a header in each."""
+    path, n = _place(spark, "tabs"), table(spark, d, "nation")
+    rows = n.select(F.col("n_nationkey").alias("Key"), F.concat("n_name", F.lit("   ")).alias("Name  "), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("Region"))
+    rows.write.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return files.delimited(spark, path, "nation_key long, name string, region_key long", "\t")
 
 
 @_register
 def nested_json(spark: SparkSession, d: str) -> DataFrame:
-    """A file with a map of title -> attributes, where attributes differ from title to title."""
-    path = _place(spark, "json")
-    n = table(spark, d, "nation").where("n_nationkey < 25")
+    """Documents with a map of title -> attributes, where attributes differ from title to title; one a line."""
+    path, n = _place(spark, "json"), table(spark, d, "nation")
     attributes = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("Region"), F.col("n_regionkey").cast("string"))).otherwise(F.create_map(F.lit("Region"), F.col("n_regionkey").cast("string"), F.lit("Key"), F.col("n_nationkey").cast("string")))
-    one = n.agg(F.to_json(F.array(F.map_from_entries(F.collect_list(F.struct("n_name", attributes))))).alias("value"))
-    one.write.text(path)
-    return files.titled_json(spark, path)
+    n.select(F.to_json(F.array(F.create_map("n_name", attributes))).alias("value")).write.text(path)
+    return files.titled_json(spark, path, whole=False)
 
 
 @_register
@@ -194,7 +203,7 @@ SQL = {
     "sink_overwrite": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0",
     "sink_append": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 2 = 0",
     "sink_clear_and_append": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 5 = 0",
-    "sink_by_team": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN lower(c_name) ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_nationkey < 6",
+    "sink_by_team": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN lower(c_name) ELSE c_name END AS c_name, c_nationkey FROM customer",
     "season_scan": "SELECT o_custkey AS player_id, o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, '1997-98' AS season FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-10-01' AND CAST(o_orderdate AS DATE) < DATE '1998-10-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)",
     "table_ddl": "SELECT c AS column_name, n AS n_rows, false AS still_there FROM (SELECT unnest(['TEAM_ID', 'TEAM_NAME', 'TEAM_ABBREVIATION']) AS c), (SELECT count(*) AS n FROM nation)",
     "csv_round_trip": "SELECT c_custkey, c_name || ', \"x\"' AS c_name, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS c_nationkey FROM customer",

@@ -211,7 +211,8 @@ SELECT player_id, round(least(coalesce(min, 0) / 20.0::DOUBLE, 1.0::DOUBLE) * co
 
 _SQL["ridge_blend"] = _ridge()
 _OFF, _DEF = _ridge(label="off", out="e_off", digits=12), _ridge(("pie", "tov", "usg"), "def", "e_def", 12)
-_SQL["estimated_ratings"] = f"SELECT player_id, round(e_off, 6) AS e_off, round(e_def, 6) AS e_def, round(e_off - e_def, 6) AS e_net FROM ({_OFF}) JOIN ({_DEF}) USING (player_id)"
+_SETTLED = ", ".join(f"floor(({x}) * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS {n}" for n, x in (("e_off", "e_off"), ("e_def", "e_def"), ("e_net", "e_off - e_def")))
+_SQL["estimated_ratings"] = f"SELECT player_id, {_SETTLED} FROM ({_OFF}) JOIN ({_DEF}) USING (player_id)"
 _SQL["availability"] = f"""WITH {_PG}, {_LAST}, a AS (SELECT player_id, count(*) AS gp, avg(min) AS season, count(*) FILTER (WHERE rn <= 10) AS last, avg(min) FILTER (WHERE rn <= 10) AS recent, stddev_samp(min) FILTER (WHERE rn <= 10) AS dev FROM ranked GROUP BY 1)
 SELECT player_id, round(0.6::DOUBLE * {_factor('gp', '82.0::DOUBLE')} + 0.4::DOUBLE * last / 10, 6) AS availability, round(0.6::DOUBLE * season + 0.4::DOUBLE * (1 - dev / nullif(recent, 0)), 6) AS consistency FROM a"""
 _SQL["head_to_head_topped"] = _meetings(["net", "efg", "oreb"], f"WHERE a.game_date < {_AS_OF} AND a.season IN ('1997-98', '1996-97')")
@@ -226,4 +227,7 @@ SELECT player_id, name, round(p1, 6) AS "primary", round(p2, 6) AS secondary, ro
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | landing.SQL
+    from statloom.plans import history_sql  # written with the helpers above
+
+    more = {"crawled_pages": _SQL["page_comments"]}
+    return _SQL | landing.SQL | history_sql.SQL | more

@@ -390,7 +390,8 @@ def availability(spark: SparkSession, d: str) -> DataFrame:
 @_register
 def estimated_ratings(spark: SparkSession, d: str) -> DataFrame:
     p = _roster(spark, d)
-    return _rounded(model.estimated_ratings(p, (["usg", "ts", "pie"], "off"), (["pie", "tov", "usg"], "def"), "min", least=20.0).select("player_id", "e_off", "e_def", "e_net"))
+    out = model.estimated_ratings(p, (["usg", "ts", "pie"], "off"), (["pie", "tov", "usg"], "def"), "min", least=20.0)
+    return out.select("player_id", *[m.settled(F.col(c)).alias(c) for c in ("e_off", "e_def", "e_net")])
 
 
 @_register
@@ -520,4 +521,6 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | landing.QUERIES
+    from statloom.plans import history  # its queries use some of these
+
+    return _QUERIES | landing.QUERIES | history.QUERIES
