@@ -26,12 +26,12 @@ TEMPLATES = 3
 #: Feature buckets of a template follow the training tokens: one for so many, a power of two within these bounds.
 #: The upper bound holds the model's two tables to 32 MB, so that each task can have them whole.
 TOKENS_A_BUCKET, FEWEST, MOST = 64, 1024, 32_768
-#: Gradient updates; each sees its own share of the chunks of training text, all together see every chunk once.
+#: Gradient updates; each sees its own share of the training documents, by a hash of their ids, all together see every document once.
 UPDATES = 4
 #: Step of an update (with its counts' curvature), smoothing of that curvature, and bound of a weight, so that exponentials stay finite.
 RATE, DAMP, BOUND = 0.7, 3.0, 8.0
-#: Bytes of text of a chunk (or one longer text), and positions scored at a time.
-CHUNK, STEP = 8 << 20, 32_768
+#: Bytes of text that a task tokenises at a time (or one longer text) into a chunk for each update, and positions scored at a time.
+CHUNK, STEP = 32 << 20, 32_768
 #: Buckets whose counts travel together in an update.
 BLOCK = 256
 
@@ -43,6 +43,11 @@ def trains(doc_id: object) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 != 0
 
 
+def update_of(doc_id: object) -> int:
+    """The update that learns from a document: by its id alone, whatever table or file it lies in."""
+    return xxhash.xxh32_intdigest(b"" if doc_id is None else str(doc_id).encode()) % UPDATES
+
+
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
@@ -57,12 +62,17 @@ _STREAM = "chunk long, part int, keys binary, checks binary, ends binary, marked
 
 
 def _streams(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row a chunk of documents: its distinct words (hash, checksum, class by ending, count in training documents), the tokens as places among them, and the documents."""
+    """One row a chunk of documents of one update: its distinct words (hash, checksum, class by ending, count in training documents), the tokens as places among them, and the documents."""
     schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "checks", "ends", "marked", "ids", "sizes", "docs"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, b in enumerate(text_chunks(batches, 1, chunk_bytes)):
+        shares = ((seq, b, k) for seq, b in enumerate(text_chunks(batches, 1, chunk_bytes)) for k in range(UPDATES))
+        for seq, b, k in shares:
+            own = np.flatnonzero([update_of(i) == k for i in b.column(0).to_pylist()])
+            if not len(own):
+                continue
+            b = b.take(pa.array(own))
             who = b.column(0).to_pylist()
             names: defaultdict = defaultdict()
             names.default_factory = names.__len__
@@ -78,7 +88,7 @@ def _streams(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 sizes,
                 np.array([0 if i is None else i for i in who] + [i is None for i in who], np.int64),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([part << 24 | seq]), pa.array([(part + seq) % UPDATES], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 24 | (seq * UPDATES + k)]), pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], schema=schema)
 
     return run
 
@@ -183,7 +193,7 @@ class Chunk:
         self.word_class, self.word_entry = lexis.place(keys, np.frombuffer(row["checks"], np.uint32), np.frombuffer(row["ends"], np.uint8))
         self.classes, self.entries = self.word_class[ids], self.word_entry[ids]
         h = keys[ids]
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        place = self.at = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         with np.errstate(over="ignore"):
             one = np.where(place >= 1, np.concatenate([h[:1], h[:-1]]), np.uint64(1))
             two = np.where(place >= 2, np.concatenate([h[:2], h[:-2]])[: len(h)], np.uint64(2))
@@ -191,6 +201,14 @@ class Chunk:
             self.features = [one ^ (one >> np.uint64(29)), two ^ (two >> np.uint64(31)), both ^ (both >> np.uint64(32))]
         self.mask = np.uint64(lexis.buckets - 1)
 
+    def uniform(self, at: np.ndarray, which: int) -> np.ndarray:
+        """A number from 0 to 1 for each position, made of its document's id and its place there alone."""
+        with np.errstate(over="ignore"):
+            x = self.docs[self.owner[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.at[at].astype(np.uint64) * np.uint64(2) + np.uint64(which)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            return ((x ^ (x >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
     def class_slots(self, at: np.ndarray | slice) -> list[np.ndarray]:
         return [((x[at] >> np.uint64(17)) & self.mask).astype(np.int64) for x in self.features]
 
@@ -207,7 +225,7 @@ def softmax(bias: np.ndarray, weights: np.ndarray, slots: list[np.ndarray]) -> n
     for k in range(1, TEMPLATES):
         z += weights[k][slots[k]]
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    z /= z.sum(1)[:, None]  # row by row, so that a position's result does not depend on those beside it
     return z
 
 
@@ -234,7 +252,6 @@ def _gradient(lexis: Lexis, held):
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, lexis)
-                rng = np.random.default_rng(row["chunk"])
                 learnt = np.flatnonzero(np.repeat([trains(None if x else int(i)) for i, x in zip(c.docs, c.null)], c.sizes))
                 inner = learnt[c.classes[learnt] >= SINGLE]
                 for which, at, target, slots in ((0, learnt, c.classes, c.class_slots), (1, inner, c.entries, c.entry_slots)):
@@ -243,7 +260,7 @@ def _gradient(lexis: Lexis, held):
                     for i in range(0, len(at), STEP):
                         s = at[i : i + STEP]
                         bias = lexis.entry_bias[c.classes[s]] if which else lexis.class_bias
-                        drawn[i : i + STEP] = _drawn(softmax(bias, w, slots(s)), rng.random(len(s), np.float32))
+                        drawn[i : i + STEP] = _drawn(softmax(bias, w, slots(s)), c.uniform(s, which))
                     for k, slot in enumerate(slots(at)):
                         for j, what in enumerate((target[at], drawn)):
                             total[which][j, k] += np.bincount(slot * m + what, minlength=lexis.buckets * m).astype(np.int32)
@@ -278,7 +295,7 @@ def train(stream: DataFrame, lexis: Lexis, after: Callable[[list[np.ndarray]], N
     """The weights after :data:`UPDATES` gradient updates; ``after`` is called with the weights after each.
 
     An update's gradient (observed minus expected counts of each feature and outcome, the latter drawn from the
-    present model) is summed over its chunks by Spark, by block of buckets; each weight's step is its gradient divided by the
+    present model) is summed over its documents' chunks by Spark, by block of buckets; each weight's step is its gradient divided by the
     curvature that the same counts estimate. Only the steps of the model's tables, of fixed size, reach the driver.
     """
     context = stream.sparkSession.sparkContext
@@ -335,14 +352,15 @@ def _chunk_scores(c: Chunk, counts: np.ndarray, lexis: Lexis, weights: list[np.n
     rest = np.where(c.word_entry == ENTRIES - 1, word - lexis.rest[c.word_class], 0.0)
     base = np.bincount(c.owner, (word - floor)[c.ids], n)
     known = np.bincount(c.owner, (counts > 0)[c.ids], n)
-    score = np.bincount(c.owner, rest[c.ids], n)
+    logs = np.empty(len(c.ids))
     for i in range(0, len(c.ids), STEP):
         at = np.arange(i, min(i + STEP, len(c.ids)))
         p = softmax(lexis.class_bias, weights[0], c.class_slots(at))[np.arange(len(at)), c.classes[at]].astype(float)
         inner = at[c.classes[at] >= SINGLE]
         if len(inner):
             p[inner - i] *= softmax(lexis.entry_bias[c.classes[inner]], weights[1], c.entry_slots(inner))[np.arange(len(inner)), c.entries[inner]]
-        score += np.bincount(c.owner[at], np.log10(np.maximum(p, 1e-60)), n)
+        logs[at] = np.log10(np.maximum(p, 1e-60))
+    score = np.bincount(c.owner, rest[c.ids], n) + np.bincount(c.owner, logs, n)
     return pa.RecordBatch.from_arrays([pa.array(c.docs, mask=c.null), pa.array(c.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
 
@@ -382,7 +400,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     each has its smoothed share and one share is left for words that training did not see; so the probabilities of
     all tokens sum to one.
 
-    Texts are tokenised once, into a staged stream of chunks, which each update reads its share of. Counts cover the
+    Texts are tokenised once, into a staged stream of chunks. A document's update follows from its id, and what is drawn
+    for its positions from its id and their places, so scores do not depend on how files or partitions divide the table.
+    Counts cover the
     whole corpus: each chunk sends its distinct words once, they are summed by word (64-bit hash and checksum), and
     the sums go back to the chunks, so no task holds a vocabulary and a frequent word has one row a chunk. The
     model's tables follow the training tokens up to a fixed size. A long text is a chunk of its own and is scored

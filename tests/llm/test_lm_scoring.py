@@ -101,3 +101,18 @@ def test_every_update_raises_the_held_out_likelihood(spark):
 def test_model_is_not_made_smaller():
     assert lm.CLASSES >= 32 and lm.SINGLE >= 12 and lm.ENTRIES >= 32 and lm.UPDATES >= 4
     assert lm.make_lexis([(1, 1, 20, 10**9)], np.full(lm.CLASSES, 1e9), np.full(lm.CLASSES, 1e6)).buckets == lm.MOST
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = list(enumerate(corpus(21, 150)))
+    rows = []
+    for parts, chunk in ((1, 32 << 20), (7, 32 << 20), (3, 4000)):
+        df = frame(spark, docs, parts)
+        out = lm.lm_score(df, chunk_bytes=chunk)
+        rows.append(sorted((r.doc_id, r.n_known, r.train_tokens, r.base_score, r.score) for r in out.collect()))
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_every_update_learns_from_documents():
+    shares = [sum(lm.update_of(i) == k for i in range(4000)) for k in range(lm.UPDATES)]
+    assert min(shares) > 800 and lm.update_of(None) in range(lm.UPDATES)
