@@ -30,15 +30,19 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules reject go, each by its own text: null ids too, and no row for the sake of its namesake.
 
-    The boilerplate lines of the others are removed from their texts, and ``n_chars`` counts what is left.
+    The boilerplate lines of the others are removed from their texts, and ``n_chars`` counts what is left. A text with a
+    benchmark passage stays as it is, since a cut could part the passage and hide it from the stage that looks for it.
+    Null and empty texts are rejected (they have too few words); an empty table gives an empty one.
     """
     rows = _numbered(docs)
     verdict = quality_rules(rows, "row_id")
     touched = stage(verdict.where("not kept or size(cut_lines) > 0").select("row_id", "kept", "cut_lines"), "touched")
-    left = rows.join(touched, "row_id", "left").where("coalesce(kept, true)")
-    text = without_lines("text", "cut_lines")
-    n_chars = F.when(F.size("cut_lines") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
-    return left.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    found = decontaminate(rows.join(touched.where("kept").select("row_id"), "row_id", "left_semi"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_id")
+    whole = stage(found.where("n_hit > 0").select("row_id", F.lit(True).alias("whole")), "whole")
+    left = rows.join(touched, "row_id", "left").where("coalesce(kept, true)").join(whole, "row_id", "left")
+    cut = F.when(F.col("whole").isNull(), F.col("cut_lines"))
+    n_chars = F.when(F.size("cut") > 0, F.length("clean")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return left.withColumn("cut", cut).withColumn("clean", without_lines("text", "cut")).select("doc_id", F.col("clean").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,20 +58,24 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the text; the row stays, even with an empty text."""
+    """Passages that an earlier document has are cut out of the text; the row stays, even with an empty text.
+
+    A benchmark passage that is cut here stands whole in the earliest document that has it, for the next stage to judge.
+    Rows with a null id have no earlier document and stay whole; null texts come out empty.
+    """
     out = substring_dedup(docs, keep=("lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with benchmark passages go, each by its own text: null ids too, and no row for the sake of its namesake."""
+    """Rows with benchmark passages go, each by its own text: null ids too, and no row for the sake of its namesake. Null and empty texts stay."""
     rows = _numbered(docs)
     found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_id")
     return _without(rows, found.where(contaminated(F.col("n_hit"), F.col("n_words")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents in sequences of at most 4096."""
+    """Token pieces of the documents in sequences of at most 4096; null and empty texts are their end token alone, repeated and null ids keep a row each."""
     out = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
