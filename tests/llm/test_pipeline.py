@@ -106,3 +106,27 @@ def test_entry_lists_the_operators():
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_no_cut_hides_a_benchmark_passage(spark, tmp_path):
+    item = _prose(77, 20)
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    first, rest = " ".join(item[:10]), " ".join(item[10:])
+    rows = [(i, "\n".join([" ".join(_prose(6000 + i, 60)), first, rest]), "c") for i in range(20)] + [(50 + i, "\n".join([" ".join(_prose(7000 + i, 60)), first]), "c") for i in range(5)]
+    kept = pipeline.keep_quality(spark, _table(spark, rows), str(tmp_path))
+    assert {r.text for r in kept.where("doc_id < 50").collect()} == {t for i, t, _ in rows if i < 50}  # whole, for decontamination to see
+    assert not [r for r in kept.where("doc_id >= 50").collect() if first in r.text]  # boilerplate as before
+    assert pipeline.drop_contaminated(spark, kept, str(tmp_path)).where("doc_id < 50").count() == 0
+    docs = _table(spark, rows)
+    for _, step in pipeline.STAGES[:4]:
+        docs = step(spark, docs, str(tmp_path))
+    assert not [r for r in docs.collect() if set(r.text.split()) & set(item)]
+
+
+def test_long_texts_go_through_whole(spark, tmp_path):
+    long = " ".join(_prose(88, 60_000))
+    spark.createDataFrame([(1, "zz yy")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = _table(spark, [(1, long, "a"), (2, " ".join(_prose(89, 50)), "a")])
+    for _, step in pipeline.STAGES[:4]:
+        docs = step(spark, docs, str(tmp_path))
+    assert {r.doc_id: len(r.text) for r in docs.collect()}[1] == len(long)
