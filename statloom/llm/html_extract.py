@@ -6,9 +6,10 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,8 @@ TEMPLATE_SHARE, LEAST_PAGES, LEAST_INSIDE = 0.9, 3, 12
 SEEDS = 4
 #: Brothers of one label are aligned when their ranks among such brothers differ by this much at most.
 BAND = 4
+#: Pairs of subtrees that an exact matching of two trees may weigh, and the hashes of labels that bounds are counted by beyond it.
+WORK, BUCKETS = 20_000, 16
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
 _ATTR = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -37,9 +40,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Names of classes and ids that hint at what is not content, outside articles; a name counts only if all its parts are among these and those that say nothing.
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription widget widgets pagination pager toolbar login signup search".split())
-_PLAIN_NAMES = frozenset("site page main top bottom left right box list bar container wrapper wrap inner outer block area section global primary secondary item items links link unit slot content js".split())
-#: Of these, the ones that also count inside articles, on an element that only groups others.
-_INSIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsored comment comments commentlist replies respond disqus".split())
+_PLAIN_NAMES = frozenset("site page main top bottom left right box list bar container wrapper wrap inner outer block area section global primary secondary item items links link unit slot content js reader readers user users visitor visitors buttons form posts stories message".split())
+#: Of these, the ones that also count inside articles: on an element that only groups others, adverts on paragraphs too; the last ones not as the id of a section, which is an anchor.
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsored".split())
+_INSIDE_NAMES = _ADVERTS | frozenset("comment comments commentlist replies respond disqus".split())
+_ASIDES = frozenset("banner cookie cookies consent gdpr notice notices popup modal overlay sidebar breadcrumb breadcrumbs sharing share social related recommended recommendations newsletter subscribe subscription pagination pager promo sponsor".split())
 _GROUPS = frozenset("div section ul ol dl ins".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An element of these that opens ends open ones of the second set, as far as the third.
@@ -58,15 +63,22 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=20_000)
-def _hints(names: str, inside: bool) -> bool:
-    """Whether a class or id names something that is not content."""
+def _hints(names: str, of: frozenset[str] = _NAMES) -> bool:
+    """Whether a class or id has one of these names, and nothing but names and what says nothing."""
     for token in names.split():
         parts = [x.lower() for x in _PART.findall(token)]
-        if any(x in (_INSIDE_NAMES if inside else _NAMES) for x in parts) and all(x in _NAMES or x in _PLAIN_NAMES for x in parts):
+        if any(x in of for x in parts) and all(x in _NAMES or x in _PLAIN_NAMES for x in parts):
             return True
     return False
 
 
+def _hints_inside(tag: str, classes: str, ids: str) -> bool:
+    """Whether an element inside an article is named as something that is not the article."""
+    if tag in ("p", "figure"):
+        return _hints(f"{classes} {ids}", _ADVERTS)
+    return tag in _GROUPS and (_hints(f"{classes} {ids}", _INSIDE_NAMES) or _hints(classes if tag == "section" else f"{classes} {ids}", _ASIDES))
+
+
 @lru_cache(maxsize=20_000)
 def _label(tag: str, names: str) -> str:
     """A node's label: its element and the letters of its class, so that numbers in names make no difference."""
@@ -207,9 +219,9 @@ class Page:
         noise = noise or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES or bool(_HIDDEN.search(a.get("style", "")))
         if names != " ":
             if inside:
-                noise = noise or (tag in _GROUPS and _hints(names, True))
+                noise = noise or _hints_inside(tag, a.get("class", ""), a.get("id", ""))
             elif not hint and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-                hint = _hints(names, False)
+                hint = _hints(names)
         inside = inside or (tag in ("article", "main") and not noise and not hint)
         if tag in _BLOCK:
             self.labels.append(_label(tag, names))
@@ -225,7 +237,7 @@ class Tree:
 
     def __init__(self, labels: list[str], parents: list[int]):
         n = len(labels)
-        self.labels, self.kids = labels, [[] for _ in range(n)]
+        self.labels, self.parents, self.kids = labels, parents, [[] for _ in range(n)]
         for i in range(1, n):
             self.kids[parents[i]].append(i)
         self.size, self.print = [1] * n, [0] * n
@@ -233,6 +245,15 @@ class Tree:
             self.size[i] += sum(self.size[k] for k in self.kids[i])
             self.print[i] = hash((labels[i], *(self.print[k] for k in self.kids[i])))
 
+    @cached_property
+    def bags(self) -> np.ndarray:
+        """How often labels of each of :data:`BUCKETS` hashes occur in the subtree of each node."""
+        out = np.zeros((len(self.labels), BUCKETS), np.int32)
+        out[np.arange(len(self.labels)), [hash(x) % BUCKETS for x in self.labels]] = 1
+        for i in range(len(self.labels) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
 
 def skeleton(labels: list[str], parents: list[int]) -> tuple[list[str], list[int], list[int]]:
     """The tree with brothers in a row that are alike (label and all below) made one node, a list slot.
@@ -268,63 +289,140 @@ def skeleton(labels: list[str], parents: list[int]) -> tuple[list[str], list[int
     return order, up, [new[x] for x in place]
 
 
-def tree_match(a: Tree, b: Tree, x: int = 0, y: int = 0) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most pairs of nodes with equal labels, order and parents kept; (pairs, [(node of b, node of a)]).
+class _TooMuch(Exception):
+    """Exact matching would weigh more than :data:`WORK` pairs."""
 
-    Children of one label pair up when their ranks among such brothers differ by :data:`BAND` at most; of these
-    pairs the heaviest chain in order is taken.
-    """
-    if a.labels[x] != b.labels[y]:
-        return 0, []
-    if a.print[x] == b.print[y] and a.size[x] == b.size[y]:
-        return a.size[x], [(y + k, x + k) for k in range(a.size[x])]
-    ranks: dict[str, list[int]] = {}
-    for i, u in enumerate(a.kids[x]):
-        ranks.setdefault(a.labels[u], []).append(i)
-    seen: dict[str, int] = {}
-    best: list[int] = [0] * (len(a.kids[x]) + 1)  # a Fenwick tree of the best chain that ends at a child of x or before
-    last: list[tuple | None] = [None] * (len(a.kids[x]) + 1)
-    for v in b.kids[y]:
-        label = b.labels[v]
-        r = seen[label] = seen.get(label, -1) + 1
-        found = []
-        for i in ranks.get(label, ())[max(0, r - BAND) : r + BAND + 1]:
-            score, pairs = tree_match(a, b, a.kids[x][i], v)
-            top, chain, k = 0, None, i
+
+class _Match:
+    """One matching of two trees. A part is (x, y, chain), where a chain links (chain before, child of x, child of y, part)."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.left = a, b, WORK
+        self.known: dict[tuple[int, int], tuple[int, tuple]] = {}
+
+    def alike(self, x: int, y: int) -> bool:
+        return self.a.print[x] == self.b.print[y] and self.a.size[x] == self.b.size[y]
+
+    def chain(self, x: int, y: int, weigh) -> tuple[int, tuple | None]:
+        """The heaviest pairs of children in order, those of one label whose ranks differ by :data:`BAND` at most."""
+        a, b = self.a, self.b
+        ranks: dict[str, list[int]] = {}
+        for i, u in enumerate(a.kids[x]):
+            ranks.setdefault(a.labels[u], []).append(i)
+        seen: dict[str, int] = {}
+        best: list[int] = [0] * (len(a.kids[x]) + 1)  # a Fenwick tree of the best chain that ends at a child of x or before
+        last: list[tuple | None] = [None] * (len(a.kids[x]) + 1)
+
+        def until(k: int) -> tuple[int, tuple | None]:
+            top, chain = 0, None
             while k:
                 if best[k] > top:
                     top, chain = best[k], last[k]
                 k -= k & -k
-            found.append((i, top + score, (chain, pairs)))
-        for i, score, chain in found:
-            k = i + 1
-            while k < len(best):
-                if score > best[k]:
-                    best[k], last[k] = score, chain
-                k += k & -k
-    top, chain, k = 0, None, len(best) - 1
-    while k:
-        if best[k] > top:
-            top, chain = best[k], last[k]
-        k -= k & -k
-    out = [(y, x)]
-    while chain:
-        chain, pairs = chain
-        out += pairs
-    return top + 1, out
+            return top, chain
+
+        for v in b.kids[y]:
+            label = b.labels[v]
+            r = seen[label] = seen.get(label, -1) + 1
+            near = ranks.get(label, ())[max(0, r - BAND) : r + BAND + 1]
+            found = []
+            for i, (score, part) in zip(near, weigh([a.kids[x][i] for i in near], v)):
+                top, chain = until(i)
+                found.append((i, top + score, (chain, a.kids[x][i], v, part)))
+            for i, score, chain in found:
+                k = i + 1
+                while k < len(best):
+                    if score > best[k]:
+                        best[k], last[k] = score, chain
+                    k += k & -k
+        return until(len(best) - 1)
+
+    def exact(self, x: int, y: int) -> tuple[int, tuple]:
+        """The best match of the subtrees of two nodes of one label; equal pairs of subtrees are matched once."""
+        key = self.a.print[x], self.b.print[y]
+        if key not in self.known:
+            if self.alike(x, y):
+                return self.a.size[x], (x, y, None)
+            self.left -= 1
+            if self.left < 0:
+                raise _TooMuch
+            top, chain = self.chain(x, y, lambda us, v: [self.exact(u, v) for u in us])
+            self.known[key] = top + 1, (x, y, chain)
+        return self.known[key]
+
+    def bounded(self) -> tuple[int, tuple]:
+        """Matched from the root down, each node once: children are chosen by an upper bound, the labels that their subtrees share."""
+        a, b = self.a, self.b
+        chains: dict[int, tuple | None] = {}  # by node of a, in order from the root
+
+        def weigh(us: list[int], v: int) -> list[tuple[int, None]]:
+            return list(zip(np.minimum(a.bags[us], b.bags[v]).sum(axis=1).tolist(), [None] * len(us))) if us else []
+
+        todo, order = [(0, 0)], []
+        while todo:
+            x, y = todo.pop()
+            order.append((x, y))
+            if not self.alike(x, y):
+                link = chains[x] = self.chain(x, y, weigh)[1]
+                while link:
+                    todo.append(link[1:3])
+                    link = link[0]
+        done: dict[int, tuple[int, tuple]] = {}
+        for x, y in reversed(order):
+            if self.alike(x, y):
+                done[x] = a.size[x], (x, y, None)
+                continue
+            score, chain, link = 1, None, chains[x]
+            while link:
+                s, part = done.pop(link[1])
+                score, chain, link = score + s, (chain, *link[1:3], part), link[0]
+            done[x] = score, (x, y, chain)
+        return done[0]
+
+    def pairs(self, part: tuple) -> list[tuple[int, int]]:
+        """(node of b, node of a) of a part; one that was matched at other, equal subtrees is moved to these."""
+        out, todo = [], [(part, 0, 0)]
+        while todo:
+            (x, y, link), dx, dy = todo.pop()
+            if self.alike(x, y):
+                out += [(y + dy + k, x + dx + k) for k in range(self.a.size[x])]
+                continue
+            out.append((y + dy, x + dx))
+            while link:
+                link, u, v, own = link
+                todo.append((own, u + dx - own[0], v + dy - own[1]))
+        return out
+
+
+def tree_match(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the most pairs of nodes with equal labels, order and parents kept; (pairs, [(node of b, node of a)]).
+
+    Children of one label pair up when their ranks among such brothers differ by :data:`BAND` at most; of these
+    pairs the heaviest chain in order is taken. Trees whose sizes multiply to :data:`WORK` or less are always matched
+    so; where more than :data:`WORK` pairs of differing subtrees would be weighed, children are weighed by the labels
+    that their subtrees share instead, and the time is linear in the trees.
+    """
+    if a.labels[0] != b.labels[0]:
+        return 0, []
+    m = _Match(a, b)
+    try:
+        score, part = m.exact(0, 0)
+    except _TooMuch:
+        score, part = m.bounded()
+    return score, m.pairs(part)
 
 
 def _written(labels: list[str], parents: list[int]) -> str:
     return "\n".join(f"{p}\t{x}" for p, x in zip(parents, labels))
 
 
-@lru_cache(maxsize=2_000)
+@lru_cache(maxsize=256)
 def _tree(written: str) -> Tree:
     rows = [x.split("\t", 1) for x in written.split("\n")]
     return Tree([x[1] for x in rows], [int(x[0]) for x in rows])
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=2_048)
 def _aligned(seeds: tuple[str, ...], page: str) -> tuple[int, dict[int, int]]:
     """Which seed the page matches best, and the seed's node for each of its nodes that has one."""
     own, best = _tree(page), (0, 0, [])
@@ -398,8 +496,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
        :data:`LEAST_PAGES`; inside an article or main element, which the page itself calls content, :data:`LEAST_INSIDE`.
     4. Of what is left, blocks in an article or main element are taken where a page has any. Elsewhere class names and
        ids that hint at adverts, menus or comments decide, unless nothing else is left; inside an article only groups named
-       as adverts or readers' comments go (and articles in it, which are comments by the standard).
+       as adverts, notices, readers' comments, newsletters, shared or related links go, paragraphs named as adverts (and
+       articles in it, which are comments by the standard).
 
+    Aligning two pages takes a bounded time (see :func:`tree_match`); elements may nest to any depth.
     Only seeds' skeletons (labels of elements) are joined by host, broadcast where Spark finds them small. The counts of
     constant texts cover all pages; a hot host's are summed in parts. Within a block white space becomes one space,
     character references are decoded; ``br`` is white space. Null or empty html gives an empty text, null URLs form one

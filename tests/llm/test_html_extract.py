@@ -1,8 +1,11 @@
+import itertools
+import random
 import time
 from html import unescape
 
 import pytest
 
+from statloom.llm import html_extract
 from statloom.llm.html_extract import Page, Tree, extract_text, skeleton, tree_match
 
 PAGE = "page_id long, url string, html string"
@@ -74,6 +77,69 @@ def test_simple_tree_matching():
     assert tree_match(wide, _tree("<h1>x</h1>" + "".join(f"<p>{k}</p><div><h{k % 6 + 1}>t</h{k % 6 + 1}></div>" for k in range(300))))[0] == len(wide.labels)
 
 
+def _random_tree(r, n):
+    labels, parents, stack = ["#"], [-1], [0]
+    for i in range(1, n):
+        while len(stack) > 1 and r.random() < 0.45:
+            stack.pop()
+        labels.append(r.choice("abc"))
+        parents.append(stack[-1])
+        stack.append(i)
+    return Tree(labels, parents)
+
+
+def _most(a, b, x=0, y=0):
+    """Simple tree matching by its recurrence, over all pairs."""
+    if a.labels[x] != b.labels[y]:
+        return 0
+    m = [[0] * (len(b.kids[y]) + 1) for _ in range(len(a.kids[x]) + 1)]
+    for i, u in enumerate(a.kids[x]):
+        for j, v in enumerate(b.kids[y]):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + _most(a, b, u, v))
+    return m[-1][-1] + 1
+
+
+def _assert_alignment(a, b, pairs):
+    place = dict(pairs)
+    assert len(pairs) == len(place) == len(set(place.values()))
+    assert all(a.labels[x] == b.labels[y] and (y == 0 or place[b.parents[y]] == a.parents[x]) for y, x in pairs)
+    assert all((y < v) == (x < u) for (y, x), (v, u) in itertools.combinations(pairs, 2))
+
+
+def test_tree_matching_against_its_recurrence(monkeypatch):
+    monkeypatch.setattr(html_extract, "BAND", 50)
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = (_random_tree(r, r.randint(1, 14)) for _ in range(2))
+        score, pairs = tree_match(a, b)
+        assert score == len(pairs) == _most(a, b)
+        _assert_alignment(a, b, pairs)
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "WORK", 0)
+            bounded, pairs = tree_match(a, b)
+        assert bounded == len(pairs) <= score
+        _assert_alignment(a, b, pairs)
+
+
+@pytest.mark.parametrize("deep, wide", [(5, 6), (8, 3), (13, 2), (20_000, 1)])
+def test_large_trees_are_matched_in_bounded_time(deep, wide):
+    r = random.Random(7)
+
+    def nested(k):
+        return f"<h{r.randint(1, 6)}>x</h1>" + "<p>" * r.randint(0, 2) if not k else "".join(f"<div>{nested(k - 1)}</div>" for _ in range(wide))
+
+    a, b = (_tree(nested(deep) if wide > 1 else "<div>" * deep + "<p>" * k) for k in (1, 2))
+    start = time.time()
+    score, pairs = tree_match(a, b)
+    assert time.time() - start < 5 and score == len(pairs) > len(b.labels) // 3
+
+
+def test_named_groups_inside_articles():
+    noise = ["<p class=ad>no</p>", "<div class='cookie-notice'>no</div>", "<div id=newsletter>no</div>", "<ul class=share-links><li>no</ul>", "<section class='related posts'>no</section>", "<div id='reader-comments'>no</div>"]
+    kept = ["<section id=related><p>1</p></section>", "<p class=notice>2</p>", "<h2 id=newsletter>3</h2>", "<div class=social-history>4</div>"]
+    assert _texts("<article><p>a</p>" + "".join(noise) + "".join(kept) + "</article>") == ["a", "1", "2", "3", "4"]
+
+
 def test_like_brothers_are_one_slot():
     assert _tree("<div>a</div><div>b</div><div><p>c</p></div><div><p>d</p><p>e</p></div>").labels == ["#", "div", "div", "p"]
 
