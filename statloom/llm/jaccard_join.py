@@ -21,8 +21,6 @@ FOLD = 4
 FREQUENT = 1 << 20
 #: Shingles with the least hashes by which likely partners are tried first, and sets of such a shingle that all others are tried against.
 MINS, LEADERS = 3, 16
-#: Times that likely partners are tried, each time with other leaders and only across the components found so far.
-TURNS = 2
 #: Rows of a tile up to which all its pairs are formed at once.
 SMALL_TILE = 64
 
@@ -301,18 +299,18 @@ def _exact(percent: int):
     return run
 
 
-def _likely(mins: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of signatures to try first: each set with the leaders of its least hashes that are of like size and in another component."""
-    named = mins.withColumn("label", F.col("sig"))
-    if labels is not None:
-        named = mins.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    rank = F.xxhash64("sig", F.lit(turn))
-    leader = named.groupBy("key", F.pmod(rank, F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(rank.alias("rank"), "sig", "n", "label")).alias("lead"))
-    leader = stage(leader.select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.label").alias("label_a")), "leaders")
-    several = leader.groupBy("key").agg(F.min("label_a").alias("least"), F.max("label_a").alias("most")).where("least <> most").select("key")
+def _likely(mins: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of signatures to try first: each set with the leaders of its least hashes that are of like size."""
+    rank = F.xxhash64("sig", F.lit(0))
+    leader = mins.groupBy("key", F.pmod(rank, F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(rank.alias("rank"), "sig", "n")).alias("lead"))
+    leader = stage(leader.select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
+    several = leader.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("key")
     tried = stage(leader.join(several, "key"), "leaders")
-    fit = (F.col("label") != F.col("label_a")) & (percent * F.greatest("n", "n_a") <= 100 * F.least("n", "n_a"))
-    return stage(named.join(tried, "key").where(fit).select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "likely")
+    fit = (F.col("sig") != F.col("a")) & (percent * F.greatest("n", "n_a") <= 100 * F.least("n", "n_a"))
+    out = stage(mins.join(tried, "key").where(fit).select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "likely")
+    for t in (leader, tried):
+        drop_staged(t)
+    return out
 
 
 def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -343,8 +341,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Shingles that a task meets in three documents or more are counted; the most frequent of all tasks (all above a count, which is set so that they are at most :data:`FREQUENT`) order prefixes: rare shingles first. The order decides cost, not results.
     2. Each document gets its set's size and signature, and each set its prefix: two sets that link share a
        shingle among their first n - ceil(percent * n / 100) + 1.
-    3. Likely partners first: sets with a least hash in common are tried within each task, then, in a few turns, one set
-       of each local group against leaders among the others. Their components label the sets.
+    3. Likely partners first: sets with a least hash in common are tried within each task, then one set of each local
+       group against leaders among the others. Their components label the sets.
     4. Tiles: the rows of a prefix shingle, sorted by set size, form pairs within the size band, unless they have one
        label and so are connected already. In the tile the shingle's places in both sets and the pairs' bitmaps bound the overlap from above, and only
        pairs that may link leave it.
@@ -376,11 +374,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     local = linkable.where(F.col("link").isNotNull()).select(F.col("sig").alias("u"), F.col("link").alias("v"))
 
     mins = stage(linkable.where(F.col("mins").isNotNull()).select("sig", "n", F.explode("mins").alias("key")).distinct(), "mins")
-    labels, edges = None, local
-    for turn in range(TURNS):
-        edges = edges.union(_confirm(known, classes, _near(bits, _likely(mins, labels, turn, percent), percent), size, percent))
-        labels = components(edges)
-        edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    likely = _likely(mins, percent)
+    labels = components(local.union(_confirm(known, classes, _near(bits, likely, percent), size, percent)))
+    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
     rows = linkable.where(F.col("prefix").isNotNull()).select("n", "sig", "prefix")
     tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long").repartition("key").sortWithinPartitions("key", "n", "sig")
@@ -396,4 +392,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = stage(member.join(least, "component").select("sig", "component_id"), "components")
     out = prep.select("id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return release(out, "classes", prep, counts, classes, bits, mins, mixed, pairs, named)
+    return release(out, "classes", prep, counts, classes, bits, mins, likely, mixed, pairs, named)
