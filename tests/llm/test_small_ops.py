@@ -52,6 +52,13 @@ def test_url_filters_without_rules_or_rows(spark):
     assert url_filters(df.limit(0), none).count() == 0
 
 
+def test_op3_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    urls = ["http://a.com/en/7", "http://www.example.com/en/71", "http://example.com/en/6", "http://a.net/de/8", "http://example.net/de/7", "http://www.Example.net/de/80?q", "http://example.net/de/8", "http://a.org/es/1", "http://a.org/en/1", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.rule, r.verdict) for r in sorted(queries.op3_url_filters(spark, str(tmp_path)).collect())]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow")]
+
+
 # ---- sharding
 
 
