@@ -7,6 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task takes of a table which is dealt by key before it is grouped and joined.
+SHARE = 500_000
+
+
+def shares(df: DataFrame) -> int:
+    """In how many partitions to deal a table: by its rows (which Parquet's footers tell), so that a task's memory does not grow with it, and at least one a core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SHARE))
+
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

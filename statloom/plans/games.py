@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dates
 from statloom.functions import metrics as m
+from statloom.operators.relational import shares
 from statloom.sources.files import table
 
 
@@ -47,10 +48,16 @@ def player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """team_id, game_id, game_date, season, wl and a team's ratings in the game: net, efg, tov, oreb, dreb, ft."""
+    """team_id, game_id, game_date, season, wl and a team's ratings in the game: net, efg, tov, oreb, dreb, ft.
+
+    Few lines share an order and a supplier, so adding them up before a shuffle would keep nearly every line in a task's
+    memory. Lines and orders are dealt by order once, in shares of bounded size; all later steps by game stay there.
+    """
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    n = shares(lines)
+    lines = lines.repartition(n, "l_orderkey")
     box = lines.groupBy("l_orderkey", "l_suppkey").agg(*_box(), _count(F.col("l_returnflag") == "N").alias("dreb"))
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").repartition(n, "o_orderkey")
     day = F.col("o_orderdate").cast("date")
     g = orders.join(box, F.col("o_orderkey") == F.col("l_orderkey"))
     share = lambda c: F.col(c) / F.col("fga")

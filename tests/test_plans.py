@@ -5,10 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from statloom.operators import relational as rel
-from statloom.plans import games, queries
+from statloom.plans import games, oracle, queries
 from statloom.sources.files import table
 
-from .oracle import SF
+from .oracle import SF, connect, same
 
 
 def _plan(df):
@@ -41,3 +41,13 @@ def test_top_k_needs_no_full_sort(spark):
 def test_last_row_is_an_aggregate(spark):
     plan = _plan(rel.last_row(table(spark, SF, "orders"), ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), ["o_orderkey"]))
     assert "Window" not in plan
+
+
+def test_team_games_are_dealt_once_in_bounded_shares(spark, monkeypatch):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(rel, "SHARE", lines // 40)
+    g = games.team_games(spark, SF)
+    assert g.rdd.getNumPartitions() >= 40  # was: as many as the session shuffles into, however many rows
+    pairs = _plan(rel.self_pairs(games.team_games(spark, SF).hint("merge"), "game_id", "team_id", ["net"]))
+    assert "REPARTITION_BY_NUM" in pairs and "ENSURE_REQUIREMENTS" not in pairs  # lines and orders are dealt once for all that goes by game
+    same(queries.queries()["n_plus_one_lookup"](spark, SF), oracle.oracle_sql()["n_plus_one_lookup"], connect())
