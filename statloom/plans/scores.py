@@ -65,12 +65,14 @@ def head_to_head(games: DataFrame, metrics: list[str], before: Column | None = N
     """Weighted (n..1, newest first) and plain mean differences of two teams' latest n meetings; divisors are fixed.
 
     ``seasons``: meetings of the first season count, and where there are fewer than n, the latest of the second top them up.
+    Each meeting is dealt once, with its differences alone: seen from the other team they have the opposite sign.
     """
     if before is not None:
         games = games.where(F.col("game_date") < before)
     if seasons:
         games = games.where(F.col("season").isin(*seasons))
-    pairs = self_pairs(games, "game_id", "team_id", ["game_date", "season", *metrics])
+    pairs = self_pairs(games, "game_id", "team_id", ["game_date", "season", *metrics]).where("a_team_id < b_team_id")
+    pairs = pairs.select("a_team_id", "b_team_id", "game_id", "a_game_date", *(["a_season"] if seasons else []), *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(c) for c in metrics])
     order = [F.desc("a_game_date"), F.desc("game_id")]
     if seasons:
         last = topped_up(*[pairs.where(F.col("a_season") == s) for s in seasons], ["a_team_id", "b_team_id"], order, n)
@@ -79,9 +81,11 @@ def head_to_head(games: DataFrame, metrics: list[str], before: Column | None = N
     weight = F.lit(n + 1) - F.col("rn")
     aggs = [F.count("*").alias("meetings")]
     for c in metrics:
-        diff = F.col(f"a_{c}") - F.col(f"b_{c}")
-        aggs += [(F.sum(weight * diff) / (n * (n + 1) / 2)).alias(f"{c}_weighted"), (F.sum(diff) / n).alias(f"{c}_plain")]
-    return last.groupBy("a_team_id", "b_team_id").agg(*aggs)
+        aggs += [(F.sum(weight * F.col(c)) / (n * (n + 1) / 2)).alias(f"{c}_weighted"), (F.sum(c) / n).alias(f"{c}_plain")]
+    one = last.groupBy("a_team_id", "b_team_id").agg(*aggs)
+    values = [f"{c}_{k}" for c in metrics for k in ("weighted", "plain")]
+    seen = F.array(*[F.struct(F.col(x).alias("a_team_id"), F.col(y).alias("b_team_id"), "meetings", *[(F.lit(0.0) + f * F.col(v)).alias(v) for v in values]) for x, y, f in (("a_team_id", "b_team_id", 1), ("b_team_id", "a_team_id", -1))])
+    return one.select(F.inline(seen))
 
 
 def strength_of_schedule(games: DataFrame, before: Column | None = None) -> DataFrame:

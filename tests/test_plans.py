@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from statloom.operators import relational as rel
-from statloom.plans import games, oracle, queries
+from statloom.plans import games, oracle, queries, scores
 from statloom.sources.files import table
 
 from .oracle import SF, connect, same
@@ -51,3 +51,16 @@ def test_team_games_are_dealt_once_in_bounded_shares(spark, monkeypatch):
     pairs = _plan(rel.self_pairs(games.team_games(spark, SF).hint("merge"), "game_id", "team_id", ["net"]))
     assert "REPARTITION_BY_NUM" in pairs and "ENSURE_REQUIREMENTS" not in pairs  # lines and orders are dealt once for all that goes by game
     same(queries.queries()["n_plus_one_lookup"](spark, SF), oracle.oracle_sql()["n_plus_one_lookup"], connect())
+
+
+def test_head_to_head_deals_each_meeting_once(spark):
+    day = "1998-01-01"
+    rows = [(t, g, d, "s", v) for g, d, sides in [(1, day, [(1, 2.0), (2, 5.0), (3, None)]), (2, day, [(2, 1.0), (1, 1.5), (None, 1.0)]), (3, None, [(1, 0.1), (2, 0.3)])] for t, v in sides]
+    g = spark.createDataFrame(rows, "team_id long, game_id long, game_date string, season string, net double")
+    out = scores.head_to_head(g, ["net"])
+    assert re.search(r"a_team_id#\d+L < b_team_id#\d+L", _plan(out))  # both orders of each pair were shuffled
+    got = sorted((r.a_team_id, r.b_team_id, r.meetings, r.net_weighted, r.net_plain) for r in out.collect())
+    w, p = (3 * 0.5 + 2 * -3.0 + (0.1 - 0.3)) / 6, (0.5 - 3.0 + (0.1 - 0.3)) / 3
+    assert [x[:3] for x in got] == [(1, 2, 3), (1, 3, 1), (2, 1, 3), (2, 3, 1), (3, 1, 1), (3, 2, 1)]
+    assert abs(got[0][3] - w) + abs(got[0][4] - p) < 1e-12 and got[2][3:] == (-got[0][3], -got[0][4])
+    assert {x[3:] for x in got if 3 in x[:2]} == {(None, None)}
