@@ -40,6 +40,7 @@ def _sure(x: Column, name: str) -> Column:
 def team_history(spark: SparkSession, d: str) -> DataFrame:
     """team_id, game_date and what stands after that day's last game: form over ten games, games and wins of the season."""
     g = games.team_games(spark, d).select("team_id", "game_id", "game_date", "season", (F.col("wl") == "F").cast("long").alias("won"), _millionths(F.col("net")).alias("net"))
+    g = g.repartition(rel.shares(table(spark, d, "lineitem", "l_orderkey")), "team_id")
     by_team = Window.partitionBy("team_id").orderBy("game_date", "game_id")
     ten, of_season = by_team.rowsBetween(-9, 0), Window.partitionBy("team_id", "season").orderBy("game_date", "game_id").rowsBetween(Window.unboundedPreceding, 0)
     return g.select("team_id", "game_id", "game_date", "season", (F.sum("net").over(ten) / F.count("*").over(ten)).alias("form"), F.count("*").over(of_season).alias("played"), F.sum("won").over(of_season).alias("won"))
@@ -48,10 +49,12 @@ def team_history(spark: SparkSession, d: str) -> DataFrame:
 @_register
 def games_as_of(spark: SparkSession, d: str) -> DataFrame:
     """Each pair of sides of each game, with both sides' form and record before its day; a record of another season counts as none."""
-    sides = games.team_games(spark, d).select("team_id", "game_id", "game_date", "season")
-    known = timed.as_of(sides, team_history(spark, d).withColumnRenamed("season", "known_season"), ["team_id"], "game_date", "game_date", ["form", "played", "won", "known_season"], ties=["game_id"])
-    same = F.col("known_season") == F.col("season")
-    record = known.select("team_id", "game_id", "game_date", (F.col("form") / 1e6).alias("form"), *[F.coalesce(F.when(same, F.col(c)), F.lit(0)).alias(c) for c in ("played", "won")])
+    of_team = Window.partitionBy("team_id").orderBy(F.datediff("game_date", F.lit("1970-01-01").cast("date")))
+    place = F.when(F.col("game_date").isNotNull(), F.struct("game_date", "game_id"))
+    earlier = F.max_by(F.struct("form", "played", "won", "season"), place).over(of_team.rangeBetween(Window.unboundedPreceding, -1))
+    known = team_history(spark, d).withColumn("known", F.when(F.col("game_date").isNotNull(), earlier))
+    same = F.col("known.season") == F.col("season")
+    record = known.select("team_id", "game_id", "game_date", (F.col("known.form") / 1e6).alias("form"), *[F.coalesce(F.when(same, F.col(f"known.{c}")), F.lit(0)).alias(c) for c in ("played", "won")])
     pairs = rel.self_pairs(record, "game_id", "team_id", ["game_date", "form", "played", "won"]).where("a_team_id < b_team_id")
     return pairs.select("game_id", F.col("a_game_date").alias("game_date"), F.col("a_team_id").alias("team_1"), F.col("b_team_id").alias("team_2"), *[_sure(F.col(f"{s}_form"), f"form_{k}") for k, s in ((1, "a"), (2, "b"))], *[F.col(f"{s}_{c}").alias(f"{c}_{k}") for k, s in ((1, "a"), (2, "b")) for c in ("played", "won")])
 

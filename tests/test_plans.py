@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from statloom.operators import relational as rel
-from statloom.plans import games, oracle, queries, scores
+from statloom.plans import games, history, oracle, queries, scores
 from statloom.sources.files import table
 
 from .oracle import SF, connect, same
@@ -64,3 +64,8 @@ def test_head_to_head_deals_each_meeting_once(spark):
     assert [x[:3] for x in got] == [(1, 2, 3), (1, 3, 1), (2, 1, 3), (2, 3, 1), (3, 1, 1), (3, 2, 1)]
     assert abs(got[0][3] - w) + abs(got[0][4] - p) < 1e-12 and got[2][3:] == (-got[0][3], -got[0][4])
     assert {x[3:] for x in got if 3 in x[:2]} == {(None, None)}
+
+
+def test_games_as_of_reads_and_orders_the_games_once_a_side(spark):
+    plan = _plan(history.games_as_of(spark, SF))
+    assert "Union" not in plan  # games and history were united and ordered once more
