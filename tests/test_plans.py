@@ -69,3 +69,10 @@ def test_head_to_head_deals_each_meeting_once(spark):
 def test_games_as_of_reads_and_orders_the_games_once_a_side(spark):
     plan = _plan(history.games_as_of(spark, SF))
     assert "Union" not in plan  # games and history were united and ordered once more
+
+
+def test_distinct_join_deals_bounded_shares(spark, monkeypatch):
+    n = lambda: queries.distinct_join(spark, SF).rdd.getNumPartitions()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(rel, "SHARE", lines // 40)
+    assert n() >= 40  # was: as many as the session shuffles into, however many rows
