@@ -9,12 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from statloom.operators import mutate
 
 
-def refresh(stream: DataFrame, path: str, key: list[str], checkpoint: str, partition: str, version: str | None = None) -> StreamingQuery:
+def refresh(stream: DataFrame, path: str, key: list[str], checkpoint: str, partition: str, version: str | None = None, stores: int | None = None) -> StreamingQuery:
     """Upsert each micro-batch into a partitioned table; only the partitions that the batch touches are rewritten.
 
     Touched are the partitions of the batch's rows and those where their keys stood before, so a key that changes its
     partition leaves no old row behind. Of rows with one key in a batch the one with the greatest ``version`` stays
     (then the greatest of all columns, in order), so a batch that is run again after a failure gives the same table.
+
+    ``stores``: in how many partitions a new checkpoint keeps the stream's state, where the session shuffles into more;
+    each of them is loaded and written in every batch, whatever it holds. A checkpoint keeps its number for good.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -45,7 +48,13 @@ def refresh(stream: DataFrame, path: str, key: list[str], checkpoint: str, parti
         finally:
             last.unpersist()
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    try:
+        conf.set(name, min(stores or int(usual), int(usual)))  # a stream takes its session's settings along when it starts
+        return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, usual)
 
 
 def windowed(stream: DataFrame, ts: str, by: list[str], aggs: list[Column], days: int = 5, late: str = "20 days", start: str | None = None) -> DataFrame:

@@ -173,3 +173,15 @@ def test_listed_rows_keep_the_first_place(spark):
 def test_final_scores_without_close_games_count_them_0(spark):
     rows = history.final_ranking(spark, "/root/testdata/sf0.001").collect()
     assert all(r.clutch is not None and r.score is not None for r in rows)
+
+
+def test_state_of_late_rows_has_few_partitions(spark, tmp_path):
+    cores, usual = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8 * cores)
+    try:
+        _run(spark, str(tmp_path), [(1, _day(0), 1.0, 1, 0), (2, _day(1), 2.0, 1, 0)], 0)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(8 * cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    stores = [x for x in (tmp_path / "s" / "state" / "0").iterdir() if x.name.isdigit()]
+    assert len(stores) == 4 * cores  # was: as many as the session shuffles into, each loaded and written in every batch
