@@ -23,6 +23,8 @@ FREQUENT = 1 << 20
 MINS, LEADERS = 3, 16
 #: Rows of a tile up to which all its pairs are formed at once.
 SMALL_TILE = 64
+#: Partners of other components, nearest first, that each row of a larger tile tries in a turn, and most turns; what they leave is paired in whole.
+NEAREST, TURNS = 8, 8
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,32 +214,40 @@ def _open_tiles(percent: int):
         lo, hi = np.searchsorted(tile + n, tile - (-percent * n // 100)), np.searchsorted(tile + n, tile + most, side="right")
         # rows are sorted by key and size: the sizes that fit are a range, which must hold more than the row itself
         own = (lo <= np.arange(len(k))) & (np.arange(len(k)) < hi)
-        yield from t.filter(pa.array(hi - lo > own)).to_batches()
+        on = hi - lo > own
+        _, inverse, count = np.unique(k[on], return_inverse=True, return_counts=True)
+        yield from t.filter(pa.array(on)).append_column("rows", pa.array(count[inverse], pa.int64())).to_batches()
 
     return work
 
 
-def _pairs(percent: int):
-    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places and folded bitmaps that leave room for the overlap."""
+def _pairs(percent: int, nearest: bool = False):
+    """The pairs of each tile (rows of one shingle, sorted by set size): different labels, sizes within the band, places and folded bitmaps that leave room for the overlap.
+
+    ``nearest``: of the tiles with more than :data:`SMALL_TILE` rows, only each row's :data:`NEAREST` pairs with the most room, so their number grows with the rows.
+    """
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, n, s, label, room = (t.column(c).to_numpy() for c in ("key", "n", "sig", "label", "room"))
         bits = np.frombuffer(b"".join(t.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD)
         out = []
 
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
+        def keep(i: np.ndarray, j: np.ndarray, nearest: bool = False) -> None:
             on = (label[i] != label[j]) & (s[i] != s[j])
             i, j = i[on], j[on]
             total = n[i] + n[j]
             need = -(-percent * total // (100 + percent))
             on = np.minimum(room[i], room[j]) >= need
             i, j, total, need = i[on], j[on], total[on], need[on]
-            on = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1) >= 2 * need
+            spare = total - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64) - 2 * need
+            on = spare >= 0
+            if nearest and on.sum() > NEAREST:
+                on = np.argpartition(-spare, NEAREST)[:NEAREST]
             out.append(np.stack([s[i[on]], s[j[on]]], 1))
 
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         length = np.diff(np.append(start, len(k)))
-        i = np.flatnonzero(np.repeat(length <= SMALL_TILE, length))
+        i = np.flatnonzero(np.repeat(length <= SMALL_TILE, length)) if not nearest else start[:0]
         d = 1
         while len(i):
             i = i[i + d < len(k)]
@@ -251,8 +261,9 @@ def _pairs(percent: int):
             for r in np.flatnonzero(rest):
                 lo, hi = np.searchsorted(nn, -(-percent * nn[r] // 100)), np.searchsorted(nn, 100 * nn[r] // percent, side="right")
                 other = np.arange(lo, hi)
-                other = other[~rest[lo:hi] | (other > r)]
-                keep(np.full(len(other), a + r), a + other)
+                if not nearest:
+                    other = other[~rest[lo:hi] | (other > r)]
+                keep(np.full(len(other), a + r), a + other, nearest)
         both = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=1)
         order = np.lexsort((both[:, 1], both[:, 0]))
         both = both[order]
@@ -332,6 +343,12 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return edges
 
 
+def _labelled(tiles: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of tiles with their sets' components so far and folded bitmaps, sorted for :func:`_pairs`."""
+    named = tiles.drop("rows").join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return named.join(bits.select("sig", "fold"), "sig").repartition("key").sortWithinPartitions("key", "n")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id that links reach (its own included).
 
@@ -344,7 +361,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Likely partners first: sets with a least hash in common are tried within each task, then one set of each local
        group against leaders among the others. Their components label the sets.
     4. Tiles: the rows of a prefix shingle, sorted by set size, form pairs within the size band, unless they have one
-       label and so are connected already. In the tile the shingle's places in both sets and the pairs' bitmaps bound the overlap from above, and only
+       label and so are connected already. Where many rows share a tile, each first tries its nearest partners of other
+       components, turn after turn until no new link is found (:data:`TURNS` at most): a group of near copies is joined by
+       about as many pairs as it has rows, and only rows that may belong elsewhere are then paired in whole. In the tile the shingle's places in both sets and the pairs' bitmaps bound the overlap from above, and only
        pairs that may link leave it.
     5. The sets of the pairs that remain are intersected.
 
@@ -376,14 +395,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mins = stage(linkable.where(F.col("mins").isNotNull()).select("sig", "n", F.explode("mins").alias("key")).distinct(), "mins")
     likely = _likely(mins, percent)
     labels = components(local.union(_confirm(known, classes, _near(bits, likely, percent), size, percent)))
-    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
     rows = linkable.where(F.col("prefix").isNotNull()).select("n", "sig", "prefix")
     tiles = rows.mapInArrow(_explode_prefix, "key long, room long, n long, sig long").repartition("key").sortWithinPartitions("key", "n", "sig")
-    mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long"), "tiles")
-    tiles = mixed.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    tiles = tiles.join(bits.select("sig", "fold"), "sig").repartition("key").sortWithinPartitions("key", "n")
-    pairs = stage(tiles.mapInArrow(runs(_pairs(percent)), "a long, b long").distinct(), "pairs")
+    mixed = stage(tiles.mapInArrow(runs(_open_tiles(percent)), "key long, room long, n long, sig long, rows long"), "tiles")
+    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    crowded = mixed.where(F.col("rows") > SMALL_TILE)
+    for _ in range(0 if crowded.isEmpty() else TURNS):
+        tried = stage(_labelled(crowded, labels, bits).mapInArrow(runs(_pairs(percent, nearest=True)), "a long, b long").distinct(), "tried")
+        linked = _confirm(known, classes, _near(bits, tried, percent), size, percent)
+        drop_staged(tried)
+        if linked.isEmpty():
+            break
+        labels = components(edges.union(linked))
+        drop_staged(linked)
+        edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    pairs = stage(_labelled(mixed, labels, bits).mapInArrow(runs(_pairs(percent)), "a long, b long").distinct(), "pairs")
     edges = edges.union(_confirm(known, classes, _near(bits, pairs, percent), size, percent))
 
     part = components(edges)

@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from statloom.llm.jaccard_join import bitmaps, differing, jaccard_components, links, shingle_sets
+from statloom.llm.jaccard_join import NEAREST, _pairs, bitmaps, differing, jaccard_components, links, shingle_sets
 
 from .util import components, corpus, frame
 
@@ -48,3 +49,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, docs, 2)).collect())
     assert [(a, n, -1 if c is None else c) for a, n, c in got] == [(-1, 0, -1), (-1, 2, -1), (1, 2, 1), (1, 2, 1), (5, 2, 1), (7, 0, 7)]
     assert jaccard_components(frame(spark, [])).count() == 0
+
+
+def test_a_turn_over_a_crowded_tile_tries_a_few_partners_a_row():
+    m = 400
+    fold = np.random.default_rng(3).integers(0, 2**63, 4, dtype=np.uint64).tobytes()
+    tile = pa.table({"sig": range(m), "key": [7] * m, "room": [100] * m, "n": [100] * m, "label": range(m), "fold": [fold] * m})
+    pairs = [sum(b.num_rows for b in _pairs(80, nearest)(tile)) for nearest in (True, False)]
+    assert 0 < pairs[0] <= NEAREST * m
+    assert pairs[1] == m * (m - 1) // 2
