@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +19,6 @@ SIDE = WINDOW - PREFIX
 #: Texts with a prefix up to which their suffixes form one group (about 100 bytes each).
 GROUP = 20_000
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
 
 class Words:
     """The words of several texts in a row: 64-bit hashes, owners, and the anchors of their windows."""
@@ -252,25 +249,31 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(pa.Table.from_batches(held))
 
 
+def _word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    raw = np.frombuffer(text, np.uint8)
+    word = np.concatenate([[False], (raw != 32) & (raw - np.uint8(9) > 4), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
 def _cut(text: bytes, gone: np.ndarray) -> bytes:
     """The text without the marked words; white space between words that stay next to each other is kept."""
-    out, last = [], None
-    for k, m in enumerate(_WORD.finditer(text)):
-        if gone[k]:
-            continue
-        if last is None:
-            out.append(m[0])
-        elif last[0] == k - 1:
-            out.append(text[last[1] : m.end()])
-        else:
-            out.append((b"\n" if b"\n" in text[last[1] : m.start()] else b" ") + m[0])
-        last = (k, m.end())
+    stay = np.flatnonzero(~gone)
+    if not len(stay):
+        return b""
+    start, end = _word_bounds(text)
+    new = np.concatenate([[True], np.diff(stay) > 1])
+    first, last = start[stay[new]].tolist(), end[stay[np.append(new[1:], True)]].tolist()
+    out = [text[first[0] : last[0]]]
+    for a, z, before in zip(first[1:], last[1:], last):
+        out += (b"\n" if b"\n" in text[before:a] else b" ", text[a:z])
     return b"".join(out)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_words", "n_removed", "text", "rest"]
-    for b in text_chunks(batches, 1):
+    for b in text_chunks(batches, 1, 2 << 20):
         ids, texts, copies, hits = b.column(0), bytes_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()
         total, removed, out = [], [], []
         for t, copy, found in zip(texts, copies, hits):
@@ -280,13 +283,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(n)
                 t = b""
             elif found:
-                step = np.zeros(n + 1, np.int64)
-                for x in found:
-                    places = np.frombuffer(x["places"], np.int32)
-                    for o in range(SIDE + 1):
-                        if x["mask"] >> o & 1:
-                            np.add.at(step, places - o, 1)
-                            np.add.at(step, places - o + WINDOW, -1)
+                raw = [x["places"] for x in found]
+                places = np.frombuffer(b"".join(raw), np.int32)
+                masks = np.repeat(np.array([x["mask"] for x in found]), [len(r) // 4 for r in raw])
+                starts = np.concatenate([places[masks >> o & 1 == 1] - o for o in range(SIDE + 1)])
+                step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + WINDOW, minlength=n + 1)
                 gone = np.cumsum(step)[:n] > 0
                 removed.append(int(gone.sum()))
                 t = _cut(t, gone)

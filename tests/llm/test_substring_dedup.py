@@ -1,8 +1,10 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
-from statloom.llm.substring_dedup import substring_dedup
+from statloom.llm.substring_dedup import _cut, _word_bounds, substring_dedup
 
 from .util import corpus, cut, frame
 
@@ -58,3 +60,15 @@ def test_a_passage_in_very_many_documents(spark, group):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(frame(spark, docs, 9), group=group).collect()}
     assert got == {i: (n, gone) for i, n, gone, _ in cut(docs)}
     assert got[5001] == (30_000, 30_000)
+
+
+def test_cutting_works_on_runs_of_words_not_word_by_word():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab \t\n\x0b\r\x1cé ") for _ in range(rng.randrange(40))).encode()
+        bounds = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        assert list(zip(*(x.tolist() for x in _word_bounds(text)))) == bounds
+        gone = np.array([rng.random() < 0.4 for _ in bounds], bool)
+        kept = _cut(text, gone)
+        assert kept.split() == [text[a:z] for (a, z), g in zip(bounds, gone) if not g]
+        assert all(text[a:d] in kept for (a, _), (_, d), g, h in zip(bounds, bounds[1:], gone, gone[1:]) if not g and not h)
